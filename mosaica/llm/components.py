@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(least, "u")
     hung = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return hung.where("a <> b").distinct()
+    hung = hung.where("a <> b")
+    return hung if large else hung.distinct()  # a large star makes no row twice
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -172,14 +172,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets_of(batch.column(1), shingle)], pa.binary())], ["id", "members"])
 
-    wanted = base.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    wanted = base.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")  # alike at every size
     sets = common.written(wanted.mapInArrow(members, "id long, members binary"), "sets")
     # First each document with the partner that it met most often; then all other candidates that still lie apart.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("seen", "shared", F.col("a") * -1)).alias("a"))
     first = common.written(confirmed(best, sets, percent), "links_1")
-    label = components(first)
-    rest = pairs.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).join(best, ["a", "b"], "left_anti")
+    up = first.select(F.col("b").alias("id"), F.col("a").alias("top"))  # a forest: every id has one smaller partner
+    for _ in range(2):
+        up = up.join(up.select(F.col("id").alias("top"), F.col("top").alias("next")), "top", "left").select("id", F.coalesce("next", "top").alias("top"))
+    rest = pairs.join(up.select(F.col("id").alias("a"), F.col("top").alias("ta")), "a", "left").join(up.select(F.col("id").alias("b"), F.col("top").alias("tb")), "b", "left")
+    rest = rest.where(F.coalesce("ta", "a") != F.coalesce("tb", "b")).join(best, ["a", "b"], "left_anti")
     links = first.unionByName(confirmed(rest, sets, percent))
     label = components(common.written(links, "links"))
     found = reps.join(label, reps.doc_id == label.id, "left").where("members > 1 or component is not null").select("key", F.coalesce("component", "doc_id").alias("component"))
