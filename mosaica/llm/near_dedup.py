@@ -188,3 +188,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     out = sigs.select("doc_id", "n_shingles", "key").join(found, "key", "left")
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def first_of_class(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents with their own columns, one of each class: that with the smallest id. Rows that share an id stay together."""
+    gone = classes(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality
+from . import decontaminate, line_dedup, near_dedup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand on ten sites or more: counts, and a digest of the text that is left."""
+    found = line_dedup.dedup(_table(spark, sf_dir, "documents"), min_sites=10)
+    return found.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.copied", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on 4-word shingles at 0.8."""
     return near_dedup.classes(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
@@ -37,9 +44,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": """
+        with lines as (
+          select doc_id, source, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '') as worded,
+            string_split(coalesce(text, ''), chr(10)) as every
+          from documents),
+        spread as (select l from (select source, unnest(worded) as l from lines) where source is not null group by l having count(distinct source) >= 10),
+        cut as (select d.doc_id, d.l from (select distinct doc_id, unnest(worded) as l from lines) d join spread using (l)),
+        met as (select doc_id, list(l) as ls from cut group by doc_id),
+        sized as (
+          select lines.*, coalesce(ls, []) as ls, list_filter(worded, lambda x: list_contains(coalesce(ls, []), x)) as hit
+          from lines left join met using (doc_id)),
+        judged as (
+          select *, coalesce(list_sum(list_transform(hit, lambda x: length(x))), 0) as cut_chars, coalesce(list_sum(list_transform(worded, lambda x: length(x))), 0) as all_chars from sized)
+        select doc_id, len(worded)::bigint as n_lines, (case when 2 * cut_chars < all_chars then len(hit) else 0 end)::bigint as n_removed,
+          cut_chars > 0 and 2 * cut_chars >= all_chars as copied,
+          sha256(case when cut_chars > 0 and 2 * cut_chars < all_chars then array_to_string(list_filter(every, lambda x: not list_contains(ls, x)), chr(10)) else text end) as kept_sha256
+        from judged""",
+}
