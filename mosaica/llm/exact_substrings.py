@@ -117,7 +117,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
         before, seen = seen, seen + batch.num_rows
-        if before < 2 <= seen:
+        if before < 3 <= seen:
             yield border(rows[:, :2], [0, -1])
         # Judged so far: places 1 to before - 2 of the task; held begins at place max(0, before - 2).
         shift = max(0, before - 2)
@@ -127,6 +127,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows[:, -2:]
     if seen == 1:
         yield border(held, [0])
+    elif seen == 2:  # both are first or last: each goes out once
+        yield border(held, [0, 0])
     elif seen:
         yield border(held, [-1, 0])
 

@@ -1,0 +1,40 @@
+"""op4: rows at the borders of tasks."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from mosaica.llm import exact_substrings
+
+NAMES = ["anchor", "context", "doc", "place"]
+
+
+def _kinds(tasks: list[list[list[tuple]]]) -> list[tuple]:
+    """(row, kind) of all rows that are judged a repeat or edge, over tasks of batches of sorted rows."""
+    out = []
+    for task in tasks:
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], NAMES) for rows in task]
+        for b in exact_substrings._compare(iter(batches)):
+            out += list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+    found = [r for r in out if r[4] > 0]
+    borders = np.array(sorted(r for r in out if r[4] <= 0), np.int64)
+    if len(borders):
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in borders[:, :4].T), pa.array(borders[:, 4], pa.int32())], [*NAMES, "kind"])
+        for b in exact_substrings._compare_borders(iter([batch])):
+            found += list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return sorted(found)
+
+
+ROWS = [(1, 10, 1, 0), (2, 20, 1, 5), (3, 30, 2, 0), (4, 40, 2, 9)]
+
+
+@pytest.mark.parametrize("tasks", [[[ROWS[:2]], [ROWS[2:]]], [[ROWS[:1], ROWS[1:2]], [ROWS[2:]]], [[ROWS[:3]], [ROWS[3:]]], [[ROWS]], [[[r]] for r in ROWS]])
+def test_rows_without_an_equal_are_no_repeats(tasks):
+    assert _kinds(tasks) == []
+
+
+@pytest.mark.parametrize("at", [1, 2, 3])
+def test_repeats_do_not_depend_on_the_tasks(at):
+    rows = [(1, 10, 1, 0), (1, 10, 2, 5), (2, 20, 1, 0), (2, 21, 2, 0)]
+    want = _kinds([[[(0, 0, 0, 0), *rows, (9, 9, 9, 9)]]])
+    assert _kinds([[rows[:at]], [rows[at:]]]) == want != []
