@@ -33,6 +33,8 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are no text of the page.
 _SILENT = frozenset("script style head title template textarea select button noscript iframe object svg math canvas audio video".split())
+#: What may stand in a head; any other tag, or text, ends it.
+_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 _RAW = frozenset("script style title textarea iframe noscript".split())
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -82,6 +84,9 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[tuple[str, ...], ...], tuple[
     while at < size:
         m = _TAG.search(page, at)
         stop = m.start() if m else size
+        if stop > at and stack and stack[-1][0] == "head" and page[at:stop].strip():
+            stack.pop()
+            silent -= 1
         if stop > at and not silent:
             text = page[at:stop]
             if "&" in text:
@@ -101,6 +106,9 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[tuple[str, ...], ...], tuple[
             if found:
                 yield found
         if not closing:
+            if stack and stack[-1][0] == "head" and tag not in _HEAD:
+                stack.pop()
+                silent -= 1
             if tag in _CLOSES or (tag in _BLOCKS and tag != "br"):
                 ends = _CLOSES.get(tag, ())
                 for i in range(len(stack) - 1, -1, -1):
