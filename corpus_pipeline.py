@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Tokenizing and packing have no SQL form; tests hold every stage against a brute-force version.
+#: Tokenizing and packing have no SQL form; of the stages, tests hold near-dedup alone against a brute-force version.
 ORACLE_SQL = None
 
 
