@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken, name: str) -> str:
+    """A column name that none of ``taken`` equals, in any case of letters: for columns that an operator adds for itself."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column, and where each row starts in them (rows + 1 offsets); null counts as empty."""
     if column.null_count:

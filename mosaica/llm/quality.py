@@ -5,7 +5,8 @@ many documents are good, is estimated by expectation-maximisation over the count
 its posterior probability of being good reaches one half. No labels are used. Documents that fail the base take no part in it.
 
 Scale: features are column expressions over one read of the texts, without a shuffle. The patterns' counts are at most 3 ** rules
-rows (2,187), however many documents there are, so the rounds of EM and the broadcast of posteriors have a proven bound.
+rows (2,187), however many documents there are, so they are collected once, EM runs on the driver over them, and the broadcast of
+posteriors has a proven bound.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ end
 """
 
 
-def measures(docs: DataFrame, text_col: str = "text", into: str = "__m") -> DataFrame:
+def measures(docs: DataFrame, text_col: str = "text", into: str = "measures") -> DataFrame:
     """The documents with a struct column of the measures, all long; null text: no words, all zero.
 
     Words are longest runs of [^\\x20\\x09-\\x0D]; n_dup_lines counts the lines with a word that equal an earlier line; n_repeat_words
@@ -66,14 +67,15 @@ def measures(docs: DataFrame, text_col: str = "text", into: str = "__m") -> Data
       'n_symbols', cast(regexp_count(b.t, '[#*$%&|<>]') as bigint), 'n_dup_lines', cast(size(b.l) - size(array_distinct(b.l)) as bigint),
       'n_repeat_words', REPEATED, 'n_upper', cast(regexp_count(b.t, '\\\\p{Lu}') as bigint), 'n_marks', cast(regexp_count(b.t, '!') as bigint),
       'n_lines', cast(size(b.l) as bigint))""".replace("REPEATED", _REPEATED.replace("size(w)", "size(b.w)").replace("transform(w,", "transform(b.w,"))
-    return docs.withColumn("__body", body).withColumn(into, F.expr(f"transform(array(__body), b -> {found})[0]")).drop("__body")
+    parts = common.fresh([*docs.columns, into], "body")
+    return docs.withColumn(parts, body).withColumn(into, F.expr(f"transform(array({parts}), b -> {found})[0]")).drop(parts)
 
 
-def base_failed(m: str = "__m") -> Column:
+def base_failed(m: str = "measures") -> Column:
     return F.expr(f"{m}.n_words < 10 or 100 * {m}.n_repeat_words > 20 * {m}.n_words")
 
 
-def votes(m: str = "__m") -> Column:
+def votes(m: str = "measures") -> Column:
     """The vote pattern as one number: a digit of base 3 for each rule (0 abstains, 1 good, 2 bad)."""
     code = "0"
     for _, bad, good in RULES:
@@ -82,65 +84,69 @@ def votes(m: str = "__m") -> Column:
     return F.expr(f"cast({code} as int)")
 
 
-def accuracies(patterns: DataFrame, rounds: int = 40, tolerance: float = 1e-6) -> dict:
-    """EM over the pattern counts (columns code, n): {"good": share, "table": {rule: (P(vote|good) x 3, P(vote|bad) x 3)}}.
+def accuracies(patterns: list[tuple[int, int]], rounds: int = 200, tolerance: float = 1e-7) -> dict:
+    """EM over pattern counts (code, n): {"good": share, "table": {rule: (P(vote|good) x 3, P(vote|bad) x 3)}, "p_good": {code: P(good | votes)}}.
 
-    Each round is one aggregation of the pattern table; the driver keeps 6 numbers a rule. The start says that votes are
-    mostly right and nine documents in ten good, so the classes can't swap. An empty table gives the start values.
+    The start says that votes are mostly right and nine documents in ten good, so the classes can't swap. Rounds end when no estimate moves
+    by ``tolerance``. No patterns: the start values.
     """
     k = len(RULES)
     good, table = 0.9, [((0.3, 0.67, 0.03), (0.6, 0.1, 0.3)) for _ in RULES]
-    digits = [F.floor(F.col("code") / 3 ** (k - 1 - j)).cast("int") % 3 for j in range(k)]
-    spread = patterns.select("n", *(d.alias(f"d{j}") for j, d in enumerate(digits)), "code")
-    for _ in range(rounds):
-        weight = posterior(good, table)
-        e = spread.withColumn("g", F.col("n") * weight).withColumn("b", F.col("n") - F.col("g"))
-        sums = e.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), *(F.sum(F.when(F.col(f"d{j}") == v, F.col(c)).otherwise(0.0)).alias(f"{c}{j}{v}") for j in range(k) for v in range(3) for c in "gb")).first()
-        if sums.g is None:
-            break
+    rows = [([code // 3 ** (k - 1 - j) % 3 for j in range(k)], n) for code, n in sorted(patterns)]
+    for _ in range(rounds if rows else 0):
+        sums = [[[0.0] * 3 for _ in range(k)] for _ in "gb"]
+        share = [0.0, 0.0]
+        for digits, n in rows:
+            g = n * posterior(good, table, digits)
+            for side, weight in enumerate((g, n - g)):
+                share[side] += weight
+                for j, v in enumerate(digits):
+                    sums[side][j][v] += weight
         old = good, table
-        good = (sums.g + SMOOTHING) / (sums.g + sums.b + 2 * SMOOTHING)
-        table = [tuple(tuple((sums[f"{c}{j}{v}"] + SMOOTHING) / (sums[c] + 3 * SMOOTHING) for v in range(3)) for c in "gb") for j in range(k)]
+        good = (share[0] + SMOOTHING) / (sum(share) + 2 * SMOOTHING)
+        table = [tuple(tuple((x + SMOOTHING) / (share[side] + 3 * SMOOTHING) for x in sums[side][j]) for side in (0, 1)) for j in range(k)]
         moved = max([abs(good - old[0]), *(abs(x - y) for now, then in zip(table, old[1], strict=True) for a, b in zip(now, then, strict=True) for x, y in zip(a, b, strict=True))])
         if moved < tolerance:
             break
-    return {"good": good, "table": {name: t for (name, *_), t in zip(RULES, table, strict=True)}}
+    return {"good": good, "table": {name: t for (name, *_), t in zip(RULES, table, strict=True)}, "p_good": {code: posterior(good, table, d) for (code, _), (d, _) in zip(sorted(patterns), rows, strict=True)}}
 
 
-def posterior(good: float, table: list) -> Column:
-    """P(good | votes) from the digit columns d0, d1, ..."""
-    odds = F.lit(math.log(good / (1 - good)))
-    for j, (g, b) in enumerate(table):
-        ratio = [math.log(x / y) for x, y in zip(g, b, strict=True)]
-        odds = odds + F.element_at(F.array(*map(F.lit, ratio)), F.col(f"d{j}") + 1)
-    return 1 / (1 + F.exp(-odds))
+def posterior(good: float, table: list, digits: list[int]) -> float:
+    """P(good | votes)."""
+    odds = math.log(good / (1 - good)) + sum(math.log(g[v] / b[v]) for (g, b), v in zip(table, digits, strict=True))
+    return 1 / (1 + math.exp(-odds))
 
 
-def posteriors(patterns: DataFrame) -> DataFrame:
-    """code, p_good for every pattern there is."""
-    fit = accuracies(patterns)
-    k = len(RULES)
-    rows = patterns.select("code", *((F.floor(F.col("code") / 3 ** (k - 1 - j)).cast("int") % 3).alias(f"d{j}") for j in range(k)))
-    return rows.select("code", posterior(fit["good"], list(fit["table"].values())).alias("p_good"))
+def fitted(coded: DataFrame) -> DataFrame:
+    """code, p_good for every vote pattern of ``coded`` (column code, null: no part in it), as literal rows: 3 ** rules at most."""
+    counts = coded.where("code is not null").groupBy("code").agg(F.count("*").alias("n")).collect()
+    chances = accuracies([(r.code, r.n) for r in counts])["p_good"]
+    return coded.sparkSession.createDataFrame(sorted(chances.items()), "code int, p_good double")
 
 
 def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the measures, votes, base_failed, p_good, kept.
 
-    kept is false where base_failed (fewer than 10 words, or over 20 % of the words repeated), else whether p_good >= 0.5 (null where base_failed). Null or
-    empty text fails the base. Repeated rows are judged alike, rows without an id as any other; an empty table gives no rows.
+    kept is false where base_failed (fewer than 10 words, or over 20 % of the words repeated), else whether p_good >= 0.5; p_good and
+    votes are null where base_failed. Null or empty text fails the base. A very long text is one row's arrays in one task: memory of some
+    50 times its bytes. Ties of the posterior (0.5) are kept; repeated rows are judged alike and each counts in the estimates; rows
+    without an id are judged as any other; an empty table gives no rows; other columns are ignored.
     """
-    rows = measures(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    rows = common.written(rows.select("doc_id", "__m.*", votes().alias("votes"), base_failed().alias("base_failed")), "measures")
-    chance = posteriors(common.written(rows.where("not base_failed").groupBy(F.col("votes").alias("code")).agg(F.count("*").alias("n")), "patterns"))
+    rows = measures(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), into="m")
+    rows = common.written(rows.select("doc_id", "m.*", F.when(~base_failed("m"), votes("m")).alias("votes"), base_failed("m").alias("base_failed")), "measures")
+    chance = fitted(rows.select(F.col("votes").alias("code")))
     out = rows.join(F.broadcast(chance.withColumnRenamed("code", "votes")), "votes", "left")
-    return out.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("p_good") >= 0.5), F.lit(False))).select("doc_id", *MEASURES, "votes", "base_failed", "p_good", "kept")
+    return out.withColumn("kept", F.coalesce(F.col("p_good") >= 0.5, F.lit(False))).select("doc_id", *MEASURES, "votes", "base_failed", "p_good", "kept")
 
 
 def keep(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The documents that are kept, with their own columns; the texts are read twice and not shuffled."""
-    names = docs.columns
-    coded = measures(docs, text_col).withColumn("__code", F.when(~base_failed(), votes()).otherwise(-1)).drop("__m")
-    every = measures(docs.select(text_col), text_col).where(~base_failed()).select(votes().alias("code"))
-    chance = posteriors(common.written(every.groupBy("code").agg(F.count("*").alias("n")), "patterns"))
-    return coded.join(F.broadcast(chance.where("p_good >= 0.5").select(F.col("code").alias("__code"))), "__code", "left_semi").select(*(F.col(f"`{c}`") for c in names))
+    """The documents that are kept, with their own columns whatever their names; the texts are read twice and not shuffled.
+
+    Null, empty and base-failed texts go; ties, very long texts and repeated rows as in ``judged``; an empty table stays empty.
+    """
+    m, code = common.fresh(docs.columns, "measures"), common.fresh(docs.columns, "votes")
+    coded = measures(docs, text_col, m)
+    coded = coded.withColumn(code, F.when(~base_failed(m), votes(m))).drop(m)
+    every = measures(docs.select(text_col), text_col, m).select(F.when(~base_failed(m), votes(m)).alias("code"))
+    chance = fitted(every).where("p_good >= 0.5").select(F.col("code").alias(code))
+    return coded.join(F.broadcast(chance), code, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
