@@ -1 +1 @@
-
+"""Where units come from."""
