@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from mosaica.storage import written  # noqa: F401  (for the operators)
 
 #: ASCII white space that ends a word: space, and TAB to CR.
 SPACES = r"\x20\x09-\x0D"
 _SUB = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder; a cluster gets an error, as
-    a machine-local folder would lose rows there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="mosaica-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/mosaica/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(taken, name: str) -> str:
     """A column name that none of ``taken`` equals, in any case of letters: for columns that an operator adds for itself."""
     taken = {x.lower() for x in taken}
