@@ -1,12 +1,15 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items, run once over each text.
 
-Normalised text is its words, A-Z lower-cased, with one space around each. A window is ``window`` consecutive words of an
-item; an item with fewer words, but not none, is one window. A document word inside any occurrence of a window is hit, and
-hits carry character offsets of the original text.
+Normalised text is its words, A-Z lower-cased. A window is ``window`` consecutive words of an item; an item with fewer words, but not
+none, is one window. A document word inside any occurrence of a window is hit, and hits carry character offsets of the original text.
 
-Scale: documents are never shuffled. The items go to every worker, which is done only while their text is at most
-``most_bytes``; larger benchmarks are dealt into groups of that size, and the documents are scanned once for each group
-(a table in the shared folder between two scans), so a worker never holds more than one group's automaton.
+The automaton's symbols are the benchmark's words, as numbers: it has at most ``window`` states a word of the benchmark, about 60 bytes each.
+A text's words become numbers by their hashes, in arrays; only runs of words that all stand in the benchmark are walked, and a match
+is compared with the window's own words, so equal hashes of different words can't hit. A match is the number of its window; items are
+looked up once for each window that a document holds, however often it holds it.
+
+Scale: documents are never shuffled. The benchmark's text is broadcast, behind a check of its size: past ``most_words`` words (0.6 GB of states
+a worker) it is dealt into groups of that size and the documents are scanned once for each group, with the same result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
@@ -26,116 +30,164 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 #: Bytes to normalised bytes: lower-case words, all else a space.
 _NORMAL = bytes((b + 32 if 65 <= b < 91 else b) if _WORD[b] else 32 for b in range(256))
-_automata: dict = {}
 
 LEAK = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def automaton(items: list[tuple[str | None, str | None]], window: int) -> ahocorasick.Automaton:
-    """Windows of all items -> (words in it, the items' numbers). Bytes stand in it as Latin-1 characters."""
-    found: dict[str, tuple[int, set[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        w = (text or "").encode().translate(_NORMAL).decode("latin-1").split(" ")
-        w = [x for x in w if x]
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            found.setdefault(f" {' '.join(part)} ", (len(part), set()))[1].add(k)
-    out = ahocorasick.Automaton()
-    for key, (n, ids) in found.items():
-        out.add_word(key, (n, tuple(ids)))
-    if found:
-        out.make_automaton()
-    return out
-
-
-def _scan(items: list[tuple[str | None, str | None]], window: int, at: int, before: int | None, names: list[str]):
-    """Kernel: appends the column of hits, as (first word, end word, item) triples added to those of earlier groups."""
+class Index:
+    """The automaton, the hashes of its words (sorted, by number), and each window's words and items."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        numbers: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set[int]] = {}
+        for k, (_, text) in enumerate(items):
+            w = [numbers.setdefault(x, len(numbers)) for x in (text or "").encode().translate(_NORMAL).split()]
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                found.setdefault(tuple(w[i : i + window]), set()).add(k)
+        self.names = list(numbers)
+        joined = b" ".join(self.names)
+        hashes, _ = common.word_hashes(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), ~_WORD)
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+        self.windows = list(found)
+        self.items = [sorted(i for i in (items[k][0] for k in ks) if i is not None) for ks in found.values()]
+        self.shortest = min(map(len, self.windows), default=0)
+        self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for n, words in enumerate(self.windows):
+            self.search.add_word(tuple(x + 1 for x in words), n)
+        if self.windows:
+            self.search.make_automaton()
+
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number plus one; 0 for words that the benchmark doesn't have."""
+        at = np.searchsorted(self.sorted, hashes)
+        at[at == len(self.sorted)] = 0
+        return np.where(self.sorted[at] == hashes, self.order[at] + 1, 0)
+
+    def matches(self, symbols: np.ndarray, word) -> Iterator[tuple[int, int, int]]:
+        """First word, end word and window of every match; ``word`` gives a text's word by its place, lower-cased."""
+        edge = np.diff(np.concatenate([[0], (symbols > 0).astype(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a < self.shortest:
+                continue
+            for end, n in self.search.iter(tuple(symbols[a:b].tolist())):
+                words = self.windows[n]
+                first = a + end + 1 - len(words)
+                if all(word(first + i) == self.names[x] for i, x in enumerate(words)):
+                    yield first, a + end + 1, n
+
+
+_indexes: dict[int, Index] = {}
+
+
+def _index(sent, window: int) -> Index:
+    """A worker's index, built once for each broadcast."""
+    if sent.id not in _indexes:
+        _indexes.clear()
+        _indexes[sent.id] = Index(sent.value, window)
+    return _indexes[sent.id]
+
+
+class _Sent:
+    """A broadcast with a number that workers know it by."""
+
+    def __init__(self, spark, items: list):
+        self.broadcast = spark.sparkContext.broadcast(items)
+        self.id = self.broadcast._jbroadcast.id()
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "id": self.id}
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+def _scan(sent: _Sent, window: int, at: int, before: int | None, names: list[str], into: str, kind: pa.DataType):
+    """Kernel: appends or completes the struct of words, marks (ranges of hit words) and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (window, hash(tuple(items)))
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(items, window)
-        search = _automata[key]
+        index = _index(sent, window)
         for batch in batches:
             data, offsets = common.text_bytes(batch.column(at))
-            normal = data.tobytes().translate(_NORMAL)
-            counts, hits = [], []
-            for i in range(batch.num_rows):
-                w = normal[offsets[i] : offsets[i + 1]].split()
-                counts.append(len(w))
-                text = f" {b' '.join(w).decode('latin-1')} "
-                met = list(search.iter(text)) if w and len(search) else []
-                if met:
-                    gaps = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-                    ends = np.searchsorted(gaps, [e for e, _ in met])
-                    met = [(int(e) - n, int(e), items[k][0]) for e, (_, (n, ids)) in zip(ends, met, strict=True) for k in ids]
-                hits.append([{"from": a, "to": b, "item": x} for a, b, x in met])
-            old = batch.columns
-            if before is not None:
-                hits = [list(h or ()) + n for h, n in zip(old[before].to_pylist(), hits, strict=True)]
-                old = old[:before]
-            yield pa.RecordBatch.from_arrays([*old, pa.array(hits, _HITS), pa.array(counts, pa.int64())], [*names, "__hits", "__words"])
+            done = []
+            old = batch.column(before).to_pylist() if before is not None else None
+            for a, b in common.slices(offsets):
+                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                starts, ends, first = common.words(part, own, ~_WORD)
+                hashes = common.range_hashes(common.prefix_hashes(part, common._BYTE_LOWER), starts, ends)
+                symbols = index.symbols(hashes) if len(index.sorted) and len(hashes) else np.zeros(len(hashes), np.int64)
+                raw = part.tobytes()
+                for i in range(b - a):
+                    lo, hi = int(first[i]), int(first[i + 1])
+                    word = lambda k, lo=lo: raw[starts[lo + k] : ends[lo + k]].translate(_NORMAL)
+                    met = list(index.matches(symbols[lo:hi], word)) if symbols[lo:hi].any() else []
+                    row = {"n_words": hi - lo, "n_hit": 0, "items": [], "marks": [], "spans": []}
+                    spans = [(x, y) for x, y, _ in met]
+                    items = {x for n in {n for _, _, n in met} for x in index.items[n]}
+                    if old is not None:
+                        spans += [(m["a"], m["b"]) for m in old[a + i]["marks"]]
+                        items |= set(old[a + i]["items"])
+                    if spans:
+                        merged = _merged(spans)
+                        text = raw[own[i] : own[i + 1]]
+                        row |= {"n_hit": sum(y - x for x, y in merged), "items": sorted(items), "marks": [{"a": x, "b": y} for x, y in merged]}
+                        row["spans"] = _characters(text, [(int(starts[lo + x] - own[i]), int(ends[lo + y - 1] - own[i])) for x, y in merged])
+                    done.append(row)
+            rest = batch.columns if before is None else batch.columns[:before]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(done, kind)], [*names, into])
 
     return run
 
 
-_HITS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("item", pa.string())]))
-
-
-def _leaks(at: int, hits_at: int, into: str, names: list[str]):
-    """Kernel: hits -> the result struct, with runs of hit words as character ranges of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, hits in enumerate(batch.column(hits_at).to_pylist()):
-                n = batch.column(hits_at + 1)[i].as_py()
-                if not hits:
-                    out.append({"n_words": n, "n_hit": 0, "items": [], "spans": []})
-                    continue
-                raw = batch.column(at)[i].as_buffer().to_pybytes()
-                arr = np.frombuffer(raw, np.uint8)
-                starts, ends, _ = common.words(arr, np.array([0, len(arr)]), ~_WORD)
-                marks = np.zeros(n + 1, np.int64)
-                np.add.at(marks, [h["from"] for h in hits], 1)
-                np.add.at(marks, [h["to"] for h in hits], -1)
-                hit = np.cumsum(marks[:-1]) > 0
-                edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                runs = zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True)
-                spans = [{"start": len(raw[: starts[a]].decode()), "end": len(raw[: ends[b]].decode())} for a, b in runs]
-                out.append({"n_words": n, "n_hit": int(hit.sum()), "items": sorted({h["item"] for h in hits if h["item"] is not None}), "spans": spans})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:hits_at], pa.array(out, _LEAK)], [*names, into])
-
-    return run
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words with those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-_LEAK = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+def _characters(text: bytes, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Byte ranges, in order, as character ranges; the text is decoded once."""
+    out, at, n = [], 0, 0
+    for a, b in ranges:
+        start = n + len(text[at:a].decode())
+        n = start + len(text[a:b].decode())
+        at = b
+        out.append({"start": start, "end": n})
+    return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, into: str = "leak", most_bytes: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, into: str = "leak", most_words: int = 1_000_000) -> DataFrame:
     """All input columns and ``into``: struct of n_words, n_hit, items (ids as strings, sorted), spans (character ranges of hit words).
 
     Null or empty text has no words. A null item text has no windows; the windows of an item without an id hit, but name no
-    item. A column of the input named like ``into`` is replaced. Repeated rows each get their result; an empty documents or
-    benchmark table works. Words are longest runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z.
+    item; items with one text are all named. A column of the input named like ``into`` is replaced, no other is touched. A very long text
+    takes arrays of some 40 times its bytes. Repeated rows each get their result; an empty documents or benchmark table works.
+    Words are longest runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z.
     """
-    docs = docs.drop(into, "__hits", "__words")
+    docs = docs.drop(into)
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     names, at = docs.columns, docs.columns.index(text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    groups = max(1, -(-total // most_bytes))
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__hits array<struct<from:long,to:long,item:string>>, __words long").fields])
+    total = items.agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 0
+    groups = max(1, -(-total // most_words))
+    kept = common.fresh(names, "found")
+    schema = T.StructType([*docs.schema.fields, T.StructField(kept, T.StructType.fromDDL(LEAK + ", marks array<struct<a:long,b:long>>"))])
+    kind = to_arrow_schema(schema).field(kept).type
     frame, before = docs, None
     for g in range(groups):
         part = items if groups == 1 else items.where(F.pmod(F.xxhash64("id", "t"), F.lit(groups)) == g)
         here = sorted(((r.id, r.t) for r in part.collect()), key=lambda x: (x[0] or "", x[1]))
         if g:
-            frame, before = common.written(frame, "scanned").select(*names, "__hits"), len(names)
-        frame = frame.mapInArrow(_scan(here, window, at, before, names), schema)
-    result = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType.fromDDL(LEAK))])
-    return frame.mapInArrow(_leaks(at, len(names), into, names), result)
+            frame, before = common.written(frame, "scanned"), len(names)
+        frame = frame.mapInArrow(_scan(_Sent(docs.sparkSession, here), window, at, before, names, kept, kind), schema)
+    return frame.withColumn(kept, F.struct(*(F.col(kept)[x.split()[0]].alias(x.split()[0]) for x in ("n_words", "n_hit", "items", "spans")))).withColumnRenamed(kept, into)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -152,5 +204,6 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    return scan(docs, benchmark, into="__leak", **options).where("__leak.n_hit = 0").drop("__leak")
+    """The documents without any hit, with their own columns whatever their names; null and empty texts stay, and all cases are as in ``scan``."""
+    into = common.fresh(docs.columns, "leak")
+    return scan(docs, benchmark, into=into, **options).where(F.col(into)["n_hit"] == 0).drop(into)
