@@ -14,6 +14,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import html_training
+from . import common, html_training
 
 #: Labelled pages that the field is trained on, and passes over them.
 TRAINING_PAGES, PASSES = 300, 6
@@ -66,9 +67,25 @@ def _own(tag: str, text: str, linked: int) -> tuple[str, ...]:
     )
 
 
-def blocks(page: str) -> Iterator[tuple[str, tuple[tuple[str, ...], ...], tuple[str, ...]]]:
-    """Text, ancestors' features, own features of each leaf block with any text, in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Element:
+    """An open element: its features, the element that it is in, and the sum of scores down to it once that is known. Blocks share them."""
+
+    __slots__ = ("features", "field", "parent", "score", "tag")
+
+    def __init__(self, tag: str, features: tuple[str, ...], parent: Element | None):
+        self.tag, self.features, self.parent, self.field, self.score = tag, features, parent, None, 0.0
+
+    def above(self) -> Iterator[tuple[str, ...]]:
+        at: Element | None = self
+        while at is not None:
+            yield at.features
+            at = at.parent
+
+
+def blocks(page: str) -> Iterator[tuple[str, Element | None, tuple[str, ...]]]:
+    """Text, innermost element, own features of each leaf block with any text, in page order. Time and memory are linear in the page."""
+    stack: list[Element] = []
+    open_: Counter[str] = Counter()
     silent = links = 0
     parts: list[str] = []
     linked, at, block = 0, 0, "body"
@@ -79,14 +96,21 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[tuple[str, ...], ...], tuple[
         text = " ".join("".join(parts).split())
         parts.clear()
         share, linked = min(linked, len(text)), 0
-        return (text, tuple(f for _, f in stack), _own(block, text, share)) if text else None
+        return (text, stack[-1] if stack else None, _own(block, text, share)) if text else None
+
+    def leave(to: int) -> None:
+        nonlocal silent, links
+        while len(stack) > to:
+            t = stack.pop().tag
+            open_[t] -= 1
+            silent -= t in _SILENT
+            links -= t == "a"
 
     while at < size:
         m = _TAG.search(page, at)
         stop = m.start() if m else size
-        if stop > at and stack and stack[-1][0] == "head" and page[at:stop].strip():
-            stack.pop()
-            silent -= 1
+        if stop > at and stack and stack[-1].tag == "head" and page[at:stop].strip():
+            leave(len(stack) - 1)
         if stop > at and not silent:
             text = page[at:stop]
             if "&" in text:
@@ -106,18 +130,14 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[tuple[str, ...], ...], tuple[
             if found:
                 yield found
         if not closing:
-            if stack and stack[-1][0] == "head" and tag not in _HEAD:
-                stack.pop()
-                silent -= 1
-            if tag in _CLOSES or (tag in _BLOCKS and tag != "br"):
-                ends = _CLOSES.get(tag, ())
+            if stack and stack[-1].tag == "head" and tag not in _HEAD:
+                leave(len(stack) - 1)
+            ends = _CLOSES.get(tag, ())
+            if (ends or (tag in _BLOCKS and tag != "br")) and (open_["p"] or any(open_[x] for x in ends)):
                 for i in range(len(stack) - 1, -1, -1):
-                    name = stack[i][0]
+                    name = stack[i].tag
                     if name in ends or name == "p":
-                        for t, _ in stack[i:]:
-                            silent -= t in _SILENT
-                            links -= t == "a"
-                        del stack[i:]
+                        leave(i)
                         if name != "p":
                             break
                     elif name in _SCOPES:
@@ -126,21 +146,17 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[tuple[str, ...], ...], tuple[
                 if tag in _RAW:
                     end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(page, at)
                     at = end.start() if end else size
-                stack.append((tag, _ancestor(tag, m[3] or "")))
+                stack.append(Element(tag, _ancestor(tag, m[3] or ""), stack[-1] if stack else None))
+                open_[tag] += 1
                 silent += tag in _SILENT
                 links += tag == "a"
                 if tag in _BLOCKS:
                     block = tag
         else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for t, _ in stack[i:]:
-                        silent -= t in _SILENT
-                        links -= t == "a"
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             if tag in _BLOCKS:
-                block = next((t for t, _ in reversed(stack) if t in _BLOCKS), "body")
+                block = next((e.tag for e in reversed(stack) if e.tag in _BLOCKS), "body")
     found = flush()
     if found:
         yield found
@@ -163,8 +179,20 @@ class Field:
                 self.sums.clear()
         return got
 
+    def down_to(self, element: Element | None) -> float:
+        """Scores of an element and all that it is in; each element of a page is summed once."""
+        chain = []
+        while element is not None and element.field is not self:
+            chain.append(element)
+            element = element.parent
+        total = element.score if element is not None else 0.0
+        for e in reversed(chain):
+            total += self.score(e.features)
+            e.field, e.score = self, total
+        return total
+
     def scores(self, page: list) -> list[float]:
-        return [sum(map(self.score, above)) + self.score(own) for _, above, own in page]
+        return [self.down_to(element) + self.score(own) for _, element, own in page]
 
     def decode(self, scores: list[float]) -> list[int]:
         """Viterbi: the most likely labels; label 1 scores as given, label 0 nothing."""
@@ -203,6 +231,9 @@ def train(pages: list[tuple[list, list[int]]], passes: int = PASSES, rate: float
             if not page:
                 continue
             field.sums.clear()
+            for _, element, _ in page:  # the weights have moved
+                while element is not None and element.field is not None:
+                    element.field, element = None, element.parent
             s, n = field.scores(page), len(page)
             f = [[field.first[0], field.first[1] + s[0]]]
             for x in s[1:]:
@@ -220,9 +251,9 @@ def train(pages: list[tuple[list, list[int]]], passes: int = PASSES, rate: float
                 for u, v in pairs:
                     pairs[u, v] += (labels[i - 1] == u and labels[i] == v) - math.exp(f[i - 1][u] + field.to[u][v] + (s[i] if v else 0.0) + b[i][v] - z)
             changes: dict[str, float] = {}
-            for i, (_, above, own) in enumerate(page):
+            for i, (_, element, own) in enumerate(page):
                 error = labels[i] - likely[i]
-                for group in (*above, own):
+                for group in (*(element.above() if element else ()), own):
                     for name in group:
                         changes[name] = changes.get(name, 0.0) + error
             for name, g in changes.items():
@@ -256,10 +287,12 @@ def main_text(page: str | None, field: Field) -> str:
 def extract(pages: DataFrame, *, html_col: str = "html", into: str = "text", field: Field | None = None) -> DataFrame:
     """All input columns but the html, and ``into``: the main text, empty if there is none (also for null html).
 
-    A column named like ``into`` is replaced; repeated rows get equal texts; an empty table gives no rows.
+    A column named like ``into`` is replaced, no other is touched; a tie of the two labelings of a block leaves it out; a very long page takes
+    memory of some 20 times its length in one worker; repeated rows get equal texts; an empty table gives no rows.
     """
     field = field or trained()
-    pages = pages.select(*(c for c in pages.columns if c not in (into, html_col)), F.col(html_col).cast("string").alias("__html"))
+    page = common.fresh([*pages.columns, into], "page")
+    pages = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in (into, html_col)), F.col(html_col).cast("string").alias(page))
     names = pages.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

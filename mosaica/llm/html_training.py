@@ -126,4 +126,4 @@ def pages(n: int, seed: int) -> Iterator[str]:
 def labelled(page: str, blocks: Callable) -> tuple[list, list[int]]:
     """Blocks of a page without the mark, and 1 for each that carried it."""
     found = list(blocks(page))
-    return [(t.replace(_MARK, ""), above, own) for t, above, own in found], [int(_MARK in t) for t, _, _ in found]
+    return [(t.replace(_MARK, ""), element, own) for t, element, own in found], [int(_MARK in t) for t, _, _ in found]
