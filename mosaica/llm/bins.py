@@ -1,10 +1,9 @@
 """Bin completion by branch and bound over a histogram of piece lengths.
 
 Equal lengths are interchangeable, so a packing is a list of patterns (lengths of one bin, how many bins). Each step takes the
-largest length left, enumerates undominated fillings of the room beside it (a filling is dominated when an item in it, or an
-item and its left-over room, can be swapped for a larger one that is there), least waste first, and applies the filling to as
-many bins at once as the counts allow. A branch is cut when its waste passes what the incumbent - best fit decreasing at the
-start - leaves. The size of the problem is the number of different lengths, at most the capacity, whatever the number of
+largest length left, enumerates undominated fillings of the room beside it (a filling is dominated when some of its pieces can be
+exchanged for one larger piece that is there), least waste first, and applies a filling to as many bins at once as the counts
+allow, or to one. A branch is cut when its waste passes what the incumbent - best fit decreasing at the start - leaves. The size of the problem is the number of different lengths, at most the capacity, whatever the number of
 documents.
 """
 
@@ -64,59 +63,68 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(p, n) for g in groups.values() for p, n in g]
 
 
+def dominated(chosen: tuple[int, ...], spare: int, free: int) -> bool:
+    """Whether one larger piece that is left could take the place of some of the chosen ones (Martello and Toth's criterion).
+
+    ``free`` has a bit for each length that is left besides the chosen pieces. Sums of one piece and of several are bit sets, so all
+    subsets are tried at once; a single piece's own length in its own place is no exchange.
+    """
+    one = several = 0
+    for s in chosen:
+        several |= (one | several) << s
+        one |= 1 << s
+    for sums, first in ((one, 1), (several, 0)):  # several pieces may go for one of just their sum
+        reach = 0
+        for d in range(first, spare + 1):
+            reach |= sums << d
+        if reach & free:
+            return True
+    return False
+
+
 def fillings(counts: dict[int, int], sizes: list[int], room: int, nodes: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first; ``sizes`` are the lengths left, ascending.
+    """Undominated fillings of ``room``, least waste first; ``sizes`` are the lengths left, ascending. At most ``nodes`` search nodes are opened.
 
-    At most ``nodes`` search nodes are opened; a filling without waste ends the search. The best-fit filling, largest first,
-    is the first to be met.
+    The best-fit filling, largest first, is the first to be met, so there always is one.
     """
     if not sizes or room < sizes[0]:
         return [()]
     found: list[tuple[int, tuple[int, ...]]] = []
-    state = {"nodes": nodes, "done": False}
-
-    def go(room: int, top: int, chosen: tuple[int, ...]) -> None:
-        i = bisect_right(sizes, min(room, top)) - 1
-        extended = False
-        while i >= 0 and not state["done"]:
-            s = sizes[i]
-            if counts[s] > (chosen.count(s) if chosen and chosen[-1] == s else 0):
-                if found and room - s > 0 and s < sizes[0]:
-                    break
-                state["nodes"] -= 1
-                extended = True
-                go(room - s, s, (*chosen, s))
-                if state["nodes"] <= 0:
-                    state["done"] = True
+    first: tuple[int, ...] | None = None
+    left = nodes
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(sizes) - 1, ())]  # room, largest length allowed, chosen
+    while stack and (left > 0 or not found):
+        rest, top, chosen = stack.pop()
+        i = min(top, bisect_right(sizes, rest) - 1)
+        while i >= 0 and counts[sizes[i]] <= chosen.count(sizes[i]):
             i -= 1
-        if not extended and not state["done"]:
-            spare = room
-            for s in set(chosen):  # dominated: some item can be swapped for a larger one that is there
-                j = bisect_right(sizes, s + spare) - 1
-                if sizes[j] > s and counts[sizes[j]] > chosen.count(sizes[j]):
-                    return
-            found.append((room, chosen))
-            if room == 0:
-                state["done"] = True
-
-    go(room, room, ())
-    if not found:  # the nodes ran out before any leaf was undominated
-        chosen, rest, top = (), room, room
-        while (i := bisect_right(sizes, min(rest, top)) - 1) >= 0:
-            while i >= 0 and counts[sizes[i]] <= chosen.count(sizes[i]):
-                i -= 1
-            if i < 0:
-                break
-            chosen, rest, top = (*chosen, sizes[i]), rest - sizes[i], sizes[i]
-        return [chosen]
-    return [c for _, c in sorted(found)]
-
-
-def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, branches: int = 200) -> list[Pattern]:
+        if i >= 0:
+            left -= 1
+            stack.append((rest, i - 1, chosen))  # without this length
+            stack.append((rest - sizes[i], i, (*chosen, sizes[i])))
+            continue
+        if first is None:
+            first = chosen
+        # A leaf that leaves out a piece for which there is room is dominated too: spare reaches it from no piece at all.
+        free = 0
+        for s in sizes:
+            if counts[s] > chosen.count(s):
+                free |= 1 << s
+        fits = free & ((1 << rest + 1) - 1)
+        if not fits and not dominated(chosen, rest, free):
+            found.append((rest, chosen))
+        if left <= 0:
+            break
+    return [c for _, c in sorted(found)] or [first or ()]
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, branches: int = 300) -> list[Pattern]:
     """A packing of all pieces: the best of best fit decreasing and the bin completion search.
 
-    ``nodes`` bounds the search for one bin's fillings, ``branches`` how often the search turns back; both bound time only, as
-    the incumbent is a whole packing at any time.
+    Where best fit meets the lower bound it can't be bettered and is taken. Else each turn of the search goes down once: the largest length
+    left gets a filling, which is used for as many bins as there are pieces for, or for one bin only; the next turn takes another filling
+    at the latest place that has one. A branch ends when its waste shows that it can't better the incumbent. ``nodes`` bounds the
+    search for one bin's fillings, ``branches`` the turns; both bound time only, as the incumbent is a whole packing at any time.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -124,39 +132,36 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, branches:
     least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     size = lambda p: sum(n for _, n in p)
-    if size(best) <= least:
-        return best
     total = sum(s * n for s, n in counts.items())
-    stack = [(counts, [], 0, 0)]  # what is left, patterns so far, waste so far, which filling to take
+    stack: list[tuple[dict[int, int], list[Pattern], int, list[tuple[tuple[int, ...], int]] | None]] = [(counts, [], 0, None)]
     turns = 0
     while stack and size(best) > least and turns <= branches:
-        left, packed, waste, nth = stack.pop()
+        left, packed, waste, todo = stack.pop()
         left, packed = dict(left), list(packed)
         allowed = (size(best) - 1) * capacity - total
-        while left:
-            sizes = sorted(left)
-            big = sizes[-1]
-            left[big] -= 1
-            rest = [s for s in sizes if left[s]]
-            options = fillings(left, rest, capacity - big, nodes)
-            left[big] += 1
-            if nth >= len(options):
-                break
-            if nth + 1 < len(options) and len(stack) < branches:
-                stack.append((dict(left), list(packed), waste, nth + 1))
-            pattern = (big, *options[nth])
-            nth = 0
-            times = min(left[s] // pattern.count(s) for s in set(pattern))
+        while left and waste <= allowed:
+            if todo is None:
+                sizes = sorted(left)
+                big = sizes[-1]
+                left[big] -= 1
+                options = fillings(left, [s for s in sizes if left[s]], capacity - big, nodes)
+                left[big] += 1
+                todo = []
+                for o in options:
+                    pattern = (big, *o)
+                    times = min(left[s] // pattern.count(s) for s in set(pattern))
+                    todo += [(pattern, times)] + ([(pattern, 1)] if times > 1 else [])
+            (pattern, times), later = todo[0], todo[1:]
+            if later:
+                stack.append((dict(left), list(packed), waste, later))
             waste += times * (capacity - sum(pattern))
-            if waste > allowed:
-                break
             for s in set(pattern):
                 left[s] -= times * pattern.count(s)
                 if not left[s]:
                     del left[s]
             packed.append((pattern, times))
-        else:
-            if size(packed) < size(best):
-                best = packed
+            todo = None
+        if not left and size(packed) < size(best):
+            best = packed
         turns += 1
     return best
