@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_substrings, html_extract, line_dedup, near_dedup, packing, quality, sharding, token_counts
+from . import decontaminate, exact_substrings, html_extract, line_dedup, near_dedup, packing, quality, sharding, substrings, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate passages of 50 words or more in all documents: how much of each, where, and the class that shares them."""
+    return substrings.near_passages(_table(spark, sf_dir, "documents"), least=50, shingle=5, percent=80)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand on ten sites or more: counts, and a digest of the text that is left."""
     found = line_dedup.dedup(_table(spark, sf_dir, "documents"), min_sites=10)
@@ -68,6 +73,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
