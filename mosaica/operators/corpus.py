@@ -18,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica import dims
+from mosaica import dims, storage
 from mosaica.errors import ContractError, CredentialFoundError, DifferentSourceError, EmptySourceError, EverythingSkippedError, InterruptedRunError, TraceError
 from mosaica.functions import screening, text
 from mosaica.operators import convert, history, maps
@@ -231,8 +231,9 @@ def sync(source, destination: str, settings: Settings | None = None, *, dry: boo
     before = Corpus(spark, destination)
     run = before.run
     folder = uuid.uuid4().hex
-    stage = str(Path(destination).resolve() / "runs" / folder)
-    os.makedirs(Path(destination) / "runs", exist_ok=True)
+    stage = f"{storage.run_dir(spark)}/plan-{folder}" if dry else str(Path(destination).resolve() / "runs" / folder)
+    if not dry:
+        os.makedirs(Path(destination) / "runs", exist_ok=True)
     try:
         refused, kept = _prepared(source, settings, spark, stage, before if run else None)
         docs = spark.read.schema(DOCUMENTS).parquet(f"{stage}/documents")
@@ -293,7 +294,7 @@ def _promote(before: Corpus, folder: str, run: dict | None, outcome: Outcome, ab
 
 
 def plan(source, destination: str, settings: Settings | None = None, **options) -> Outcome:
-    """What a sync would do; nothing stays written."""
+    """What a sync would do; the destination isn't touched."""
     return sync(source, destination, settings, dry=True, **options)
 
 

@@ -122,6 +122,7 @@ def blame_followed(changes: DataFrame, paths: DataFrame | None = None) -> DataFr
     Histories of paths that moves tie together are worked out together: the ties are followed by joins (as many rounds as the longest chain
     of names), and each such family is one group. Families are as small as the renames of one document.
     """
+    changes = storage.written(changes, "changes")
     tied = storage.written(moves(changes), "moves")
     family = changes.select("path").distinct().withColumn("family", F.col("path"))
     while True:

@@ -1,18 +1,21 @@
 """One local session for all tests."""
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+HERE = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, os.environ.get("PYTHONPATH")) if x)  # for the workers
 
 
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
 
-    conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.driver.memory": "4g"}
+    conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
     made = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     made.sparkContext.setLogLevel("ERROR")
     yield made
