@@ -73,22 +73,34 @@ def dominated(chosen: tuple[int, ...], spare: int, free: int) -> bool:
     for s in chosen:
         several |= (one | several) << s
         one |= 1 << s
-    for sums, first in ((one, 1), (several, 0)):  # several pieces may go for one of just their sum
-        reach = 0
-        for d in range(first, spare + 1):
-            reach |= sums << d
-        if reach & free:
-            return True
-    return False
+    # Several pieces may go for one of just their sum; a single one only for a larger.
+    return bool((_smeared(one << 1, spare - 1) | _smeared(several, spare)) & free) if spare else bool(several & free)
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, nodes: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first; ``sizes`` are the lengths left, ascending. At most ``nodes`` search nodes are opened.
+def _smeared(bits: int, most: int) -> int:
+    """The bits moved up by 0 to ``most``."""
+    done = 0
+    while done < most:
+        step = min(done + 1, most - done)
+        bits |= bits << step
+        done += step
+    return bits
 
-    The best-fit filling, largest first, is the first to be met, so there always is one.
+
+#: So many fillings without waste are choice enough in one place.
+_PERFECT = 4
+
+
+def fillings(counts: dict[int, int], sizes: list[int], room: int, nodes: int) -> tuple[list[tuple[int, ...]], int]:
+    """Undominated fillings of ``room``, least waste first, and the search nodes opened: at most ``nodes``. ``sizes`` are the lengths left, ascending.
+
+    The best-fit filling, largest first, is the first to be met, so there always is one. Some fillings without waste end the search.
     """
     if not sizes or room < sizes[0]:
-        return [()]
+        return [()], 1
+    perfect = there = 0
+    for s in sizes:
+        there |= 1 << s
     found: list[tuple[int, tuple[int, ...]]] = []
     first: tuple[int, ...] | None = None
     left = nodes
@@ -106,25 +118,26 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, nodes: int) ->
         if first is None:
             first = chosen
         # A leaf that leaves out a piece for which there is room is dominated too: spare reaches it from no piece at all.
-        free = 0
-        for s in sizes:
-            if counts[s] > chosen.count(s):
-                free |= 1 << s
+        free = there
+        for s in set(chosen):
+            if counts[s] <= chosen.count(s):
+                free ^= 1 << s
         fits = free & ((1 << rest + 1) - 1)
         if not fits and not dominated(chosen, rest, free):
             found.append((rest, chosen))
-        if left <= 0:
+            perfect += rest == 0
+        if left <= 0 or perfect == _PERFECT:
             break
-    return [c for _, c in sorted(found)] or [first or ()]
+    return [c for _, c in sorted(found)] or [first or ()], nodes - left + 1
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, branches: int = 300) -> list[Pattern]:
+def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, effort: int = 60_000) -> list[Pattern]:
     """A packing of all pieces: the best of best fit decreasing and the bin completion search.
 
     Where best fit meets the lower bound it can't be bettered and is taken. Else each turn of the search goes down once: the largest length
     left gets a filling, which is used for as many bins as there are pieces for, or for one bin only; the next turn takes another filling
     at the latest place that has one. A branch ends when its waste shows that it can't better the incumbent. ``nodes`` bounds the
-    search for one bin's fillings, ``branches`` the turns; both bound time only, as the incumbent is a whole packing at any time.
+    search for one bin's fillings, ``effort`` all search nodes (some seconds); both bound time only, as the incumbent is a whole packing at any time.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -134,17 +147,17 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, branches:
     size = lambda p: sum(n for _, n in p)
     total = sum(s * n for s, n in counts.items())
     stack: list[tuple[dict[int, int], list[Pattern], int, list[tuple[tuple[int, ...], int]] | None]] = [(counts, [], 0, None)]
-    turns = 0
-    while stack and size(best) > least and turns <= branches:
+    while stack and size(best) > least and effort > 0:
         left, packed, waste, todo = stack.pop()
         left, packed = dict(left), list(packed)
         allowed = (size(best) - 1) * capacity - total
-        while left and waste <= allowed:
+        while left and waste <= allowed and effort > 0:
             if todo is None:
                 sizes = sorted(left)
                 big = sizes[-1]
                 left[big] -= 1
-                options = fillings(left, [s for s in sizes if left[s]], capacity - big, nodes)
+                options, opened = fillings(left, [s for s in sizes if left[s]], capacity - big, nodes)
+                effort -= opened
                 left[big] += 1
                 todo = []
                 for o in options:
@@ -163,5 +176,4 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, branches:
             todo = None
         if not left and size(packed) < size(best):
             best = packed
-        turns += 1
     return best
