@@ -44,16 +44,22 @@ def spread_lines(docs: DataFrame, *, min_sites: int, site_col: str, text_col: st
     return estimates.where(F.col("n") > (1 + NEAR) * min_sites).select("h").unionByName(exact.select("h"))
 
 
-def _cut(spread: np.ndarray, at: int, names: list[str]):
+def _cut(handed: np.ndarray | None, at: int, names: list[str], into: str):
+    """Kernel: cuts the lines whose hashes are handed; without ``handed`` each row brings its own in the column behind ``names``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, results = [], []
-            for text in batch.column(at).to_pylist():
+            own = batch.column(len(names)).to_pylist() if handed is None else None
+            for row, text in enumerate(batch.column(at).to_pylist()):
+                spread = handed if own is None else np.sort(np.array(own[row] or [], np.int64))
                 lines = (text or "").split("\n")
                 words = [bool(x.strip(_BLANK)) for x in lines]
-                h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in lines], np.uint64).view(np.int64)
-                i = np.searchsorted(spread, h) if len(spread) else np.zeros(len(h), np.int64)
-                hit = (spread[np.minimum(i, len(spread) - 1)] == h) & np.array(words) if len(spread) else np.zeros(len(h), bool)
+                hit = np.zeros(len(lines), bool)
+                if len(spread):
+                    h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in lines], np.uint64).view(np.int64)
+                    i = np.searchsorted(spread, h)
+                    hit = (spread[np.minimum(i, len(spread) - 1)] == h) & np.array(words)
                 cut = sum(len(x) for x, y in zip(lines, hit, strict=True) if y)
                 whole = sum(len(x) for x, y in zip(lines, words, strict=True) if y)
                 if cut and 2 * cut < whole:
@@ -62,9 +68,9 @@ def _cut(spread: np.ndarray, at: int, names: list[str]):
                 else:
                     texts.append(text)
                     results.append({"n_lines": sum(words), "n_removed": 0, "copied": cut > 0})
-            cols = list(batch.columns)
+            cols = list(batch.columns[: len(names)])
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(results, _RESULT)], [*names, "__lines"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(results, _RESULT)], [*names, into])
 
     return run
 
@@ -76,36 +82,31 @@ def dedup(docs: DataFrame, *, min_sites: int = 10, id_col: str = "doc_id", text_
     """All input columns, the text without boilerplate lines, and ``into``: struct of n_lines (that hold a word), n_removed, copied.
 
     copied: spread lines hold at least half of the characters, so the document is left whole. Lines are told apart by 64-bit
-    hashes of all their characters; blank lines always stay. Null text stays null with no lines. A column named like ``into`` is
-    replaced. Repeated rows are treated alike; an empty table gives no rows.
+    hashes of all their characters; blank lines always stay. Null text stays null with no lines; an empty one has none. A line on just
+    ``min_sites`` sites is spread. A column named like ``into`` is replaced, no other is touched; a very long text is split in one worker. Repeated
+    rows are treated alike; an empty table gives no rows. Both ways of handing out the hashes give the same rows.
     """
-    docs = docs.drop(into, "__lines").withColumn(text_col, F.col(text_col).cast("string"))
+    docs = docs.drop(into).withColumn(text_col, F.col(text_col).cast("string"))
     names = docs.columns
+    at = names.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType.fromDDL("n_lines long, n_removed long, copied boolean"))])
     spread = common.written(spread_lines(docs, min_sites=min_sites, site_col=site_col, text_col=text_col), "boilerplate")
     if spread.count() <= most_handed:
         handed = np.sort(np.array([r.h for r in spread.collect()], np.int64))
-        schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.StructType.fromDDL("n_lines long, n_removed long, copied boolean"))])
-        return docs.mapInArrow(_cut(handed, names.index(text_col), names), schema).withColumnRenamed("__lines", into)
-    key = F.xxhash64(text_col)
-    met = docs.select(key.alias("__key"), F.length(text_col).alias("__size"), F.explode(F.array_distinct(_hashes(F.col(text_col)))).alias("h")).distinct().join(spread, "h")
-    met = met.groupBy("__key", "__size").agg(F.collect_list("h").alias("__met"))  # no longer than a document's own lines
-    rows = docs.withColumn("__key", key).withColumn("__size", F.length(text_col)).join(met, ["__key", "__size"], "left")
-    lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
-    worded = lambda x: F.btrim(x, F.lit(_BLANK)) != ""
-    hit = lambda x: worded(x) & F.coalesce(F.array_contains("__met", F.xxhash64(x)), F.lit(False))
-    size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    rows = rows.withColumn("__hit", F.filter(lines, hit)).withColumn("__cut", size(F.col("__hit"))).withColumn("__whole", size(F.filter(lines, worded)))
-    does = (F.col("__cut") > 0) & (2 * F.col("__cut") < F.col("__whole"))
-    result = F.struct(F.size(F.filter(lines, worded)).cast("long").alias("n_lines"), F.when(does, F.size("__hit")).otherwise(0).cast("long").alias("n_removed"), (~does & (F.col("__cut") > 0)).alias("copied"))
-    rows = rows.withColumn(into, result).withColumn(text_col, F.when(does, F.array_join(F.filter(lines, lambda x: ~hit(x)), "\n")).otherwise(F.col(text_col)))
-    return rows.select(*(F.col(f"`{c}`") for c in names), into)
+        return docs.mapInArrow(_cut(handed, at, names, into), schema)
+    key, size, met = (common.fresh(names, x) for x in ("key", "size", "met"))
+    marked = docs.withColumn(key, F.xxhash64(text_col)).withColumn(size, F.length(text_col))
+    hashes = docs.select(F.xxhash64(text_col).alias(key), F.length(text_col).alias(size), F.explode(F.array_distinct(_hashes(F.col(text_col)))).alias("h")).distinct().join(spread, "h")
+    hits = hashes.groupBy(key, size).agg(F.collect_list("h").alias(met))  # no longer than a document's own lines
+    rows = marked.join(hits, [key, size], "left").select(*(F.col(f"`{c}`") for c in names), met)
+    return rows.mapInArrow(_cut(None, at, names, into), schema)
 
 
 def without_boilerplate(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = None, **options) -> DataFrame:
-    """The documents with their own columns and the lines cut; ``chars_col`` gets the new length where lines went."""
-    names = docs.columns
-    out = dedup(docs, text_col=text_col, into="__cut_lines", **options)
+    """The documents with their own columns, whatever their names, and the lines cut; ``chars_col`` gets the new length where lines went. Cases as in ``dedup``."""
+    names, lines = docs.columns, common.fresh(docs.columns, "lines")
+    out = dedup(docs, text_col=text_col, into=lines, **options)
     if chars_col in names:
         kind = docs.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col("__cut_lines.n_removed") > 0, F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(F.col(lines)["n_removed"] > 0, F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
     return out.select(*(F.col(f"`{c}`") for c in names))

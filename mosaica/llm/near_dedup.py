@@ -290,7 +290,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Two documents are linked when 100 * intersection >= percent * union of their sets. Null or empty text, or text without
     words: size 0, linked with nothing. Rows that share an id count as one document; a row without an id is linked with
-    nothing, kept, and has a null component_id. An empty table gives an empty result; other columns are ignored.
+    nothing, kept, and has a null component_id. A pair at the very percentage is linked; a very long text takes arrays of some 50 times its
+    bytes in one task. An empty table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = common.written(signed(base, shingle, trees, depth), "signatures")
@@ -326,6 +327,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def first_of_class(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents with their own columns, one of each class: that with the smallest id. Rows that share an id stay together."""
-    gone = classes(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The documents with their own columns, whatever their names, one of each class: that with the smallest id. Rows that share an id stay together.
+
+    Null, empty and wordless texts and rows without an id stay; an empty table stays empty; other cases as in ``classes``.
+    """
+    name = common.fresh(docs.columns, "gone")
+    gone = classes(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
