@@ -305,7 +305,8 @@ def dedup(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_co
     """One row per input row: doc_id, n_bytes, spans (removed byte ranges, maximal), kept (the other bytes, in order).
 
     Strings are judged on the input; overlaps count, and matches never cross documents. Null text counts as empty. Repeated rows
-    are documents of their own, so they repeat each other. An empty table gives no rows; other columns are ignored. ``length`` is
+    are documents of their own, so they repeat each other. Of equal minimizers the leftmost counts. A very long text is hashed in blocks, in arrays of
+    some 40 times its bytes in one task. An empty table gives no rows; other columns are ignored. ``length`` is
     at most 256. Windows are told apart by 128 bits of hash, edges by their bytes.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

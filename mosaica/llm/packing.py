@@ -131,8 +131,8 @@ def pack(docs: DataFrame, *, path: str, capacity: int = 2048, id_col: str = "doc
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then id 0; only longer ones are cut, into pieces of ``capacity`` ids. Null text counts as empty:
-    one piece of one id. Repeated rows, and rows without an id, are documents of their own. An empty table gives no rows; other
-    columns are ignored.
+    one piece of one id. Repeated rows, and rows without an id, are documents of their own. Pieces of one length are interchangeable: ties go by
+    scan task and order in it. A very long text is held with its ids in one task. An empty table gives no rows; other columns are ignored.
     """
     cut = common.written(pieces(docs, path, capacity, id_col, text_col), "pieces")
     per = common.written(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")

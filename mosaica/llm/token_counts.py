@@ -51,6 +51,7 @@ class Counter:
                 self.search.add_word(piece, (len(piece), score))
         if len(self.search):
             self.search.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1) or 1
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.spell = bytes_fallback
         self.apart = not any(MARK in p.lstrip(MARK) for p, _ in pieces)
@@ -62,28 +63,30 @@ class Counter:
         n = len(text)
         if not n:
             return 0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if len(self.search):
-            for end, hit in self.search.iter(text):
-                ends[end].append(hit)
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        unknown = [False] * (n + 1)  # whether the path's last token is an unknown one
+        hits = self.search.iter(text) if len(self.search) else iter(())
+        hit = next(hits, None)
+        # Paths of the last ``span`` ends only: no piece reaches further back.
+        span = min(self.longest, n) + 1
+        best, count, unknown = [0.0] * span, [0] * span, [False] * span  # unknown: whether the path's last token is one
+        here = 0
         for end in range(n):
             top, tokens, lost, single = None, 0, False, False
-            for size, score in ends[end]:  # the longest first: the smallest start
+            while hit is not None and hit[0] == end:  # the longest first: the smallest start
+                size, score = hit[1]
                 single = single or size == 1
-                at = end + 1 - size
+                at = (end + 1 - size) % span
                 s = best[at] + score
                 if top is None or s > top:
                     top, tokens, lost = s, count[at] + 1, False
+                hit = next(hits, None)
             if not single:
-                s = best[end] + self.unknown
+                s = best[here] + self.unknown
                 if top is None or s > top:
                     top, lost = s, True
-                    tokens = count[end] + (len(text[end].encode()) if self.spell else 0 if unknown[end] else 1)
-            best[end + 1], count[end + 1], unknown[end + 1] = top, tokens, lost
-        return count[n]
+                    tokens = count[here] + (len(text[end].encode()) if self.spell else 0 if unknown[here] else 1)
+            here = (end + 1) % span
+            best[here], count[here], unknown[here] = top, tokens, lost
+        return count[here]
 
     def _chunk(self, chunk: str) -> int:
         got = self.viterbi(chunk)
@@ -114,7 +117,11 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, *, path: str, text_col: str = "text", into: str = "n_tokens") -> DataFrame:
     """All input columns and ``into``: tokens of the whole text (long). Null or empty text has none; a column named like ``into`` is
-    replaced; repeated rows count alike; an empty table gives no rows."""
+    replaced, no other is touched; ties go as in the tokenizer (see the module); a very long text, with spaces or without, takes memory of its own length;
+    repeated rows count alike; an empty table gives no rows.
+
+    ``path`` is a sentencepiece file. One of a BPE model has merge ranks in place of log-probabilities: they are read as unigram scores, so
+    counts are those of a unigram model over these pieces and scores, not of the BPE model."""
     docs = docs.drop(into).withColumn(text_col, F.col(text_col).cast("string"))
     names, at = docs.columns, docs.columns.index(text_col)
 
