@@ -12,6 +12,7 @@ import json
 import os
 import shutil
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -90,11 +91,24 @@ def identity_digest(rows: DataFrame, order: list[str], fields: list[str]) -> Dat
     return lane.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lane", "d"))), lambda x: x.d), ""), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def run_id(source: dict, settings: Settings, converters: list[str], artefacts: DataFrame, skipped: DataFrame) -> str:
-    """Over exactly what decides the output: who read, with what, and each artefact and skip; a plan and its sync share it."""
-    a = identity_digest(artefacts, ["path"], ["path", "unit_key", "content_hash"]).first()
-    s = identity_digest(skipped, ["origin", "reason"], ["origin", "reason"]).first()
-    return text.hash_of({"source": source, "decided_by": settings.decided_by(), "converters": converters, "artefacts": [a.digest, a.n], "skipped": [s.digest, s.n]})
+def together(**work) -> dict:
+    """The results of independent small jobs, run at the same time: a run's totals are many jobs over small tables."""
+    with ThreadPoolExecutor(max(1, len(work))) as pool:
+        started = {k: pool.submit(f) for k, f in work.items()}
+        return {k: f.result() for k, f in started.items()}
+
+
+def artefact_digest(artefacts: DataFrame) -> list:
+    return list(identity_digest(artefacts, ["path"], ["path", "unit_key", "content_hash"]).first())
+
+
+def skip_digest(skipped: DataFrame) -> list:
+    return list(identity_digest(skipped, ["origin", "reason"], ["origin", "reason"]).first())
+
+
+def run_id(source: dict, decided_by: dict, converters: list[str], artefacts: list, skipped: list) -> str:
+    """Over exactly what decides the output: who read, with what, and (by their digests) each artefact and skip; a plan and its sync share it."""
+    return text.hash_of({"source": source, "decided_by": decided_by, "converters": converters, "artefacts": artefacts, "skipped": skipped})
 
 
 # The stored corpus
@@ -210,10 +224,9 @@ def _prepared(source, settings: Settings, spark: SparkSession, stage: str, previ
     struck = done.select("unit_key", F.explode("converted.removals").alias("r")).select("unit_key", "r.*")
     if kept is not None:
         struck = struck.unionByName(previous.table("removals").join(kept.select("unit_key"), "unit_key", "left_semi"))
-    write(struck, stage, "removals")
     lost = skipped.select("origin", "reason", "detail").unionByName(convert.skips(done, ["unit_key"]).withColumnRenamed("unit_key", "origin"))
     lost = lost.unionByName(refused.groupBy("unit_key").agg(F.min("rule").alias("detail")).select(F.col("unit_key").alias("origin"), F.lit("credential").alias("reason"), "detail"))
-    write(lost, stage, "skipped")
+    together(removals=lambda: write(struck, stage, "removals"), skipped=lambda: write(lost, stage, "skipped"))
     return refused, kept
 
 
@@ -238,14 +251,16 @@ def sync(source, destination: str, settings: Settings | None = None, *, dry: boo
         refused, kept = _prepared(source, settings, spark, stage, before if run else None)
         docs = spark.read.schema(DOCUMENTS).parquet(f"{stage}/documents")
         skipped, removals = spark.read.parquet(f"{stage}/skipped"), spark.read.parquet(f"{stage}/removals")
-        sums = totals(docs, skipped).first().asDict()
-        hits = [(r.unit_key, r.rule) for r in refused.select("unit_key", "rule").distinct().limit(100).collect()]
-        converters = sorted(r[0] for r in docs.select("converter").distinct().collect())
-        about = {"source_id": source.source_id, "adapter": source.adapter, "key_derivation": source.key_derivation}
-        identity = run_id(about, settings, converters, docs, skipped)
         held = before.table("documents") if run else None
-        gone = sorted(r[0] for r in withdrawals(held, docs).limit(1000).collect()) if run else []
-        outcome = Outcome(identity, sums, removals.count(), kept.count() if kept is not None else 0, gone, hits, skipped, docs)
+        got = together(
+            sums=lambda: totals(docs, skipped).first().asDict(), hits=lambda: [(r.unit_key, r.rule) for r in refused.select("unit_key", "rule").distinct().limit(100).collect()],
+            converters=lambda: sorted(r[0] for r in docs.select("converter").distinct().collect()), artefacts=lambda: artefact_digest(docs), skips=lambda: skip_digest(skipped),
+            gone=lambda: sorted(r[0] for r in withdrawals(held, docs).limit(1000).collect()) if run else [], removals=removals.count, kept=lambda: kept.count() if kept is not None else 0,
+        )
+        sums, hits, gone = got["sums"], got["hits"], got["gone"]
+        about = {"source_id": source.source_id, "adapter": source.adapter, "key_derivation": source.key_derivation}
+        identity = run_id(about, settings.decided_by(), got["converters"], got["artefacts"], got["skips"])
+        outcome = Outcome(identity, sums, got["removals"], got["kept"], gone, hits, skipped, docs)
         if dry:
             return outcome
         if hits:
@@ -269,8 +284,7 @@ def _promote(before: Corpus, folder: str, run: dict | None, outcome: Outcome, ab
     new = spark.read.schema(DOCUMENTS).parquet(str(before.destination / "runs" / folder / "documents")).select("path", F.col("content_hash").alias("hash"))
     old = before.table("documents").select("path", F.col("content_hash").alias("hash")) if run else spark.createDataFrame([], "path string, hash string")
     changed = history.compared(old, new)
-    write(changed.where("op <> 'unchanged'"), str(before.destination / "runs" / folder), "changes")
-    same = changed.where("op = 'unchanged'").count()
+    same = together(write=lambda: write(changed.where("op <> 'unchanged'"), str(before.destination / "runs" / folder), "changes"), same=lambda: changed.where("op = 'unchanged'").count())["same"]
     rows = spark.read.parquet(str(before.destination / "runs" / folder / "changes")).collect()  # a journal line names what changed: a run's changes, not the corpus
     names = lambda op: sorted(r.path for r in rows if r.op == op)
     parent = run["run_id"] if run else None
@@ -344,11 +358,10 @@ def verify(spark: SparkSession, destination: str) -> DataFrame:
         raise ContractError(f"{destination} holds no corpus")
     docs = corpus.table("documents")
     found = artefact_faults(docs).unionByName(record_faults(corpus.table("removals"), docs))
-    settings_id = {"source": {k: run["source"][k] for k in ("source_id", "adapter", "key_derivation")}, "decided_by": run["decided_by"], "converters": sorted(r[0] for r in docs.select("converter").distinct().collect())}
-    a = identity_digest(docs, ["path"], ["path", "unit_key", "content_hash"]).first()
-    s = identity_digest(corpus.table("skipped"), ["origin", "reason"], ["origin", "reason"]).first()
+    about = {k: run["source"][k] for k in ("source_id", "adapter", "key_derivation")}
+    got = together(converters=lambda: sorted(r[0] for r in docs.select("converter").distinct().collect()), artefacts=lambda: artefact_digest(docs), skips=lambda: skip_digest(corpus.table("skipped")))
     few = total_faults(run["coverage"], docs)
-    if text.hash_of(settings_id | {"artefacts": [a.digest, a.n], "skipped": [s.digest, s.n]}) != run["run_id"]:
+    if run_id(about, run["decided_by"], got["converters"], got["artefacts"], got["skips"]) != run["run_id"]:
         few.append(("manifest 1", "run_id"))
     entries, changes = history.from_lines(corpus.journal_lines())
     chain = history.chain_faults(entries, changes, docs.select("path", F.col("content_hash").alias("hash")), run["run_id"]).select("invariant", "subject")
