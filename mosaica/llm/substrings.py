@@ -1,27 +1,27 @@
 """Near-duplicate passages by compact windows.
 
-A text is a row of tokens: its shingles (hashes of ``shingle`` consecutive words). Under a hash function the least token of a stretch is its
-min-hash, and all stretches of ``t`` tokens or more that share it make one compact window: the widest stretch around the token that
-holds no lesser one, which is its subtree in the Cartesian tree of the hashes. Only tokens that are the least of some t in a row have such a
-window, about 2 n / t of n tokens, so each of ``functions`` hash functions gives few rows: (function and min-hash, text, place, window).
-
-Texts whose windows have equal min-hashes hold candidate passages. In each group of equal min-hashes every text is paired with one lead, the
-least text there: a group of any size gives one pair a member. Pairs are joined over all groups (the interval join: windows of either text that
-meet under several functions), and of each pair the seeds (places of equal tokens) are verified: around a seed the two stretches that match
-best are found, and stay if they have ``least`` words or more and their shingle sets have the similarity. Seeds inside verified passages are
-settled. Those that aren't, as their text isn't near the lead, meet other leads of their groups in later rounds: first the text with most
-verified partners (the original of many copies), then the least of the texts that are left, until a round finds nothing new.
-
-Two passages at the similarity share a min-hash under a function with that probability, so a pair is met with 1 - 0.2 ** functions at least (equal
-passages always); longer passages have more windows. What the rounds can miss: passages that are near to no lead that they meet. Texts equal in all their words are one text.
-
-Scale: windows travel as 20 bytes each and only those that another text has are kept; leads are found by pre-aggregation, so a passage in a third of
-all texts meets in no task. A pair's texts travel compressed. Components run as star rounds over the links.
+A text is a row of tokens: its shingles (hashes of ``shingle`` consecutive words). A passage is a stretch of ``t`` tokens or more; two are near when
+their sets have the similarity. No pair is left to chance:
+
+1. Tokens of all texts are counted, as sorted blocks of 48 bits dealt into parts. A near passage consists of tokens that stand twice or more, but for
+   a share, so all other stretches are dropped (``covered``: a sum over prefix minima, the widest stretches at once).
+2. All texts order tokens alike: by how often they stand (in powers of two), then by hash. Of a passage's tokens those that are less than the least one
+   that it shares with its partner aren't in the partner, so they are few: a token that is the least in no stretch with so few lesser ones
+   can't be that one (``seeds_of``; a compact window, but with a share of lesser tokens in it). All others are seeds. Two near passages share a seed.
+3. Stretches that share a seed are compared: first each with one lead, then places that no verified passage covers with the leads of their groups, until
+   a round finds nothing new; at last all stretches of a group that haven't met, unless their texts are in one class already.
+   So classes are whole; a place's spans come from the partners that it met.
+4. A pair is verified on all tokens of both stretches: chains of equal runs in one order by their sums, and where no token stands twice in either,
+   any order (``anywhere``). Stretches that repeat tokens in themselves *and* have them in another order are compared by their sets over
+   maximal stretches, not over all.
+
+Scale: tokens travel as some five bytes each, once; only stretches that may hold a near passage go on. A group is paired with leads, and only what no lead
+settles is compared in the square of its number. Components run as star rounds over the links.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +34,14 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-SEED = 23
 _LOW = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 23
+#: Tokens that a task counts at once, compressed bytes of texts in a block.
+_PART, _PACKED = 2_000_000, 3_000_000
+#: Levels and scores of places without a token, or out of question.
+_NONE, _FAR = -2, -(1 << 30)
+#: Sums that are held at once when stretches are compared in any order.
+_CELLS = 1 << 18
 
 
 def tokens(part: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +107,6 @@ def least_places(h: np.ndarray, t: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _multipliers(functions: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def _texts(least: int, shingle: int):
     """Kernel: id, words, key (128 bits of all words), of each row."""
 
@@ -127,74 +128,12 @@ def _texts(least: int, shingle: int):
     return run
 
 
-def _seeds(t: int, shingle: int, functions: int):
-    """Kernel: (min-hash with its function, id, place) of every compact window."""
-    multipliers = _multipliers(functions)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = common.text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for a, b in common.slices(offsets):
-                h, first = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
-                if len(h) < t:
-                    continue
-                crossing = np.zeros(len(h) + 1, bool)  # the last places of each row hold no token
-                for k in range(1, shingle):
-                    at = first[1:] - k
-                    crossing[at[at >= first[:-1]]] = True
-                crossing = np.flatnonzero(crossing[:-1])
-                cols: list[list[np.ndarray]] = [[], [], []]
-                for f, m in enumerate(multipliers):
-                    mixed = common.mix(h * m)
-                    mixed |= _LOW + np.uint64(1)  # none is 0
-                    mixed[crossing] = 0
-                    places = least_places(mixed, t)
-                    row = np.searchsorted(first, places, "right") - 1
-                    cols[0].append(common.mix(h[places] + np.uint64(f + 1)))
-                    cols[1].append(ids[a + row])
-                    cols[2].append((places - first[row]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).view(np.int64)), pa.array(np.concatenate(cols[1])), pa.array(np.concatenate(cols[2]))], ["h", "doc", "c"])
-
-    return run
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "packed"])
 
 
-def _bags(x: np.ndarray, half: int) -> np.ndarray:
-    """For each token 64 bits, one for each of the ``half`` tokens from it on (as far as the row goes)."""
-    bits = np.uint64(1) << (common.mix(x) >> np.uint64(58))
-    bits = np.concatenate([bits, np.zeros(half, np.uint64)])
-    size = 1
-    while size < half:
-        step = min(size, half - size)
-        bits[:-step] |= bits[step:]
-        size += step
-    return bits[: len(x)]
-
-
-def _marked(shingle: int, half: int):
-    """Kernel over (node, packed text, its seeds): h, node, c, and the bags of the tokens after and before the seed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-            for node, packed, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
-                x = tokens(raw, np.array([0, len(raw)]), shingle)[0]
-                bags = _bags(x[: len(x) - shingle + 1], half)
-                c = np.array([s["c"] for s in seeds], np.int64)
-                for k, v in enumerate((np.array([s["h"] for s in seeds], np.int64), np.full(len(c), node), c, bags[c].view(np.int64), bags[np.maximum(c - half + 1, 0)].view(np.int64))):
-                    cols[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "node", "c", "after", "before"])
-
-    return run
-
-
 def stretches(flags: np.ndarray, cost: int) -> list[tuple[int, int]]:
     """All maximal stretches of positive sum, where a match counts 1 and any other token -cost (Ruzzo and Tompa's, over runs; linear)."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -231,88 +170,315 @@ def grown(flags: np.ndarray, a: int, b: int, percent: int) -> tuple[int, int]:
         _, a, b, i, j = max(good)
 
 
+def covered(score: np.ndarray, t: int) -> np.ndarray:
+    """Which places lie in a stretch of ``t`` or more whose scores sum to 0 or more."""
+    n = len(score)
+    if n < t:
+        return np.zeros(n, bool)
+    sums = np.concatenate([[0], np.cumsum(score)])
+    ends = np.arange(t, n + 1)
+    # the first start that is no higher than the end: where the falling minimum gets there
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums[t:], "left")
+    good = starts <= ends - t
+    edge = np.bincount(starts[good], minlength=n + 1) - np.bincount(ends[good], minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _shrunk(v: np.ndarray) -> bytes:
+    """Sorted whole numbers as the byte planes of their differences, compressed."""
+    return zstandard.compress(np.diff(v, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unshrunk(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _six(v: np.ndarray) -> bytes:
+    return v.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unsix(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel: rows of (node, packed) get a block, a number that some megabytes of texts in a row share."""
+    for batch in batches:
+        sizes = np.cumsum([len(x) for x in batch.column(1).to_pylist()])
+        block, last = np.zeros(len(sizes), np.int64), None
+        for i, size in enumerate(sizes.tolist()):
+            part = (size // _PACKED, i // 16384)
+            if part != last:
+                last, name = part, secrets.randbits(62)
+            block[i] = name
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block)], ["node", "packed", "block"])
+
+
+def _unpacked(packed: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """48-bit tokens of texts one after the other, which places hold none (the last of each row), and each row's first place."""
+    raw = [zstandard.decompress(x) for x in packed]
+    h, first = tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]), shingle)
+    none = np.zeros(len(h), bool)
+    for k in range(1, shingle):
+        at = first[1:] - k
+        none[at[at >= first[:-1]]] = True
+    return h >> np.uint64(16), none, first
+
+
+def _counted(shingle: int, parts: int):
+    """Kernel over (node, packed, block): the tokens of each block and how often they stand there, dealt into parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, packed = batch.column(2).to_numpy(), batch.column(1).to_pylist()
+            cut = np.flatnonzero(np.diff(block)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                if a == b:
+                    continue
+                v, none, _ = _unpacked(packed[a:b], shingle)
+                v, n = np.unique(v[~none], return_counts=True)
+                part = (v % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                bound = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = [(p, order[bound[p] : bound[p + 1]]) for p in range(parts) if bound[p] < bound[p + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in rows], pa.int64()), pa.array([int(block[a])] * len(rows), pa.int64()), pa.array([_shrunk(v[at]) for _, at in rows], pa.binary()), pa.array([zstandard.compress(n[at].astype(np.uint32).tobytes(), 1) for _, at in rows], pa.binary())],
+                    ["part", "block", "tokens", "counts"],
+                )
+
+    return run
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Of each block's tokens in one part those that stand twice or more in all blocks, with a level that rises with their number."""
+    rows = [(_unshrunk(v), np.frombuffer(zstandard.decompress(n), np.uint32)) for v, n in zip(table.column("tokens").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+    own, number = np.unique(np.concatenate([v for v, _ in rows]), return_inverse=True)
+    total = np.bincount(number, np.concatenate([n for _, n in rows]), len(own))
+    level = np.log2(total).astype(np.uint8)
+    out, at = [], 0
+    for v, _ in rows:
+        mine = level[number[at : at + len(v)]]
+        at += len(v)
+        out.append((_shrunk(v[mine > 0]), zstandard.compress(mine[mine > 0].tobytes(), 1)))
+    return pa.table({"block": table.column("block"), "tokens": pa.array([x for x, _ in out], pa.binary()), "levels": pa.array([x for _, x in out], pa.binary())})
+
+
+def seeds_of(level: np.ndarray, again: np.ndarray, t: int, percent: int) -> np.ndarray:
+    """Which tokens can be the least that two near passages share; ``level``: -1 for tokens that stand nowhere else, ``again``: those that stand twice in their text.
+
+    Of a passage's distinct tokens (100 - ``percent``) % at most aren't in the other, and all that are less than the least shared one are among them.
+    """
+    found = np.zeros(len(level), bool)
+    at, near = np.arange(len(level)), level != _NONE
+    for k in np.unique(level[level >= 0]):
+        if 3 * near.sum() < 2 * len(at):  # where no passage lies now, none lies at higher levels: a place beside each stretch is enough
+            kept = near.copy()
+            kept[1:] |= near[:-1]
+            at, level, again, near = at[kept], np.where(near, level, _NONE)[kept], again[kept], near[kept]
+        near = covered(np.where(level == _NONE, _FAR, np.where((level < k) & ~again, -percent, 100 - percent)), t)
+        found[at[near & (level == k)]] = True
+        if not near.any():
+            break
+    return found
+
+
+def _dense(t: int, shingle: int, percent: int):
+    """Kernel over a block's texts and its repeated tokens: the stretches whose tokens are so often repeated that a near passage may lie there, with their seeds."""
+
+    def run(texts: pa.Table, repeated: pa.Table) -> pa.Table:
+        node, start, out = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        h, c, ends = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int32)
+        known = np.concatenate([np.zeros(0, np.uint64), *(_unshrunk(x) for x in repeated.column("tokens").to_pylist())])
+        if len(known) and texts.num_rows:
+            v, none, first = _unpacked(texts.column("packed").to_pylist(), shingle)
+            of = np.frombuffer(b"".join(zstandard.decompress(x) for x in repeated.column("levels").to_pylist()), np.uint8)
+            known, where = np.unique(known, return_index=True)
+            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            level = np.where(known[at] == v, of[where][at].astype(np.int64) * 4 + (v & np.uint64(3)).astype(np.int64), -1)
+            inside = covered(np.where(none, _FAR, np.where(level >= 0, 100 - percent, -percent)), t)
+            level[~inside] = _NONE
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+            low, high = edge[::2], edge[1::2]
+            row = np.searchsorted(first, low, "right") - 1
+            own = np.flatnonzero(inside)
+            _, number, times = np.unique(v[own] ^ common.mix(np.repeat(row, high - low).astype(np.uint64)), return_inverse=True, return_counts=True)
+            again = np.zeros(len(v), bool)
+            again[own] = times[number] > 1
+            seed = np.flatnonzero(seeds_of(level, again, t, percent))
+            node, start = texts.column("node").to_numpy()[row], low - first[row]
+            out = [_six(v[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+            h, c = v[seed].astype(np.int64), (seed - first[np.searchsorted(first, seed, "right") - 1]).astype(np.int32)
+            ends = np.concatenate([[0], np.searchsorted(seed, high)]).astype(np.int32)
+        seeds = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h), pa.array(c)], ["h", "c"]))
+        return pa.table({"node": pa.array(node), "s": pa.array(start), "tokens": pa.array(out, pa.binary()), "seeds": seeds})
+
+    return run
+
+
 class _Text:
-    """A text's tokens, and where each stands."""
+    """A stretch's tokens, and where each stands."""
 
-    def __init__(self, packed: bytes, shingle: int):
-        raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
-        x = tokens(raw, np.array([0, len(raw)]), shingle)[0]
-        self.x = x[: len(x) - shingle + 1]
+    def __init__(self, raw: bytes):
+        self.x = _unsix(raw)
         self.own, number = np.unique(self.x, return_inverse=True)
         self.there = np.sort(number.astype(np.int64) << 32 | np.arange(len(self.x)))
 
 
-def passage(x: np.ndarray, y: _Text, flags: np.ndarray, kind: np.ndarray, a: int, b: int, move: int, percent: int, t: int) -> tuple[int, int] | None:
-    """The stretch of ``y`` that tokens a to b of x match along a diagonal, if the two are near enough.
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    u, v = np.unique(x), np.unique(y)
+    both = len(u) + len(v) - len(np.union1d(u, v))
+    return 100 * both >= percent * (len(u) + len(v) - both)
 
-    ``flags``: which tokens of x are in y; ``kind``: their numbers there. Of a token's places in y the nearest to the diagonal counts.
+
+def chains(x: np.ndarray, y: _Text, kind: np.ndarray, flags: np.ndarray, cost: float) -> Iterator[list[tuple[int, int, int, int]]]:
+    """For each equal run the chains of runs that end with it, longest first: first and end token in x and in y.
+
+    A token of a run counts 1, one between two runs -cost in either text, but for those that both texts have and one of them has twice: they
+    are in no run and count nothing. Sums of 0 or more are the similarities that suffice, if no token stands twice. A run follows the one
+    by which the sum is the best.
     """
-    at = np.flatnonzero(flags[a:b]) + a
-    straight = np.clip(at + move, 0, len(y.x) - 1)
-    i = np.searchsorted(y.there, kind[at] << 32 | straight)
-    after, before = np.minimum(i, len(y.there) - 1), np.maximum(i - 1, 0)
-    off = [np.where(y.there[k] >> 32 == kind[at], np.abs((y.there[k] & 0xFFFFFFFF) - straight), 1 << 40) for k in (before, after)]
-    own = np.where(off[0] <= off[1], y.there[before], y.there[after]) & 0xFFFFFFFF
-    own = own[np.minimum(*off) <= 16 + (b - a) // 4]
-    if not len(own) or (low := int(own.min())) + t > (high := int(own.max()) + 1):
-        return None
-    u, v = np.unique(x[a:b]), np.unique(y.x[low:high])
-    both = int(np.isin(u, v, assume_unique=True).sum())
-    return (low, high) if 100 * both >= percent * (len(u) + len(v) - both) else None
-
-
-def verified_passages(x: _Text, y: _Text, seeds: list[tuple[int, int]], t: int, percent: int) -> Iterator[tuple[int, int, int, int]]:
-    """First and end token in x and in y of the near-duplicate passages that hold a seed (places of equal tokens)."""
+    once = np.diff(np.concatenate([np.flatnonzero(np.diff(y.there >> 32, prepend=-1)), [len(y.there)]]))[kind] == 1
+    _, number, times = np.unique(x, return_inverse=True, return_counts=True)
+    once &= times[number] == 1
+    at = np.flatnonzero(flags & once)
+    if not len(at):
+        return
+    free = np.zeros(len(y.x), bool)
+    free[y.there[np.isin(y.there >> 32, kind[flags & ~once])] & 0xFFFFFFFF] = True
+    price = [np.concatenate([[0], np.cumsum(~k)]) for k in (flags & ~once, free)]
+    j = y.there[np.searchsorted(y.there, kind[at] << 32)] & 0xFFFFFFFF
+    order = np.lexsort((at, j - at))
+    at, j = at[order], j[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(j) != 1)]))
+    size = np.diff(np.concatenate([new, [len(at)]]))
+    runs = np.array([at[new], at[new] + size, j[new], j[new] + size, size])
+    p, p2, q, q2, size = runs[:, np.argsort(runs[0], kind="stable")]
+    total, before, step = size.astype(float), np.full(len(p), -1), np.zeros(len(p))
+    # what lies farther back than this is too far for any sum
+    firsts = np.searchsorted(price[0][p], price[0][p] - len(at) / cost - int(size.max()))
+    for k in range(1, len(p)):
+        f = int(firsts[k])
+        if f >= k:
+            continue
+        gaps = price[0][p[k]] - price[0][p2[f:k]] + price[1][q[k]] - price[1][np.minimum(q2[f:k], q[k])]
+        sums = np.where(q2[f:k] <= q[k], total[f:k] - cost * gaps, -np.inf)
+        best = int(np.argmax(sums))
+        if sums[best] > -np.inf:
+            before[k], step[k] = f + best, sums[best] - total[f + best]
+            total[k] += max(0.0, sums[best])
+    for k in range(len(p) - 1, -1, -1):
+        found, at_, score = [(int(p[k]), int(p2[k]), int(q[k]), int(q2[k]))], k, float(size[k])
+        while before[at_] >= 0 and (score >= 0 or total[at_] > size[at_]):
+            score += step[at_] + size[before[at_]]
+            at_ = int(before[at_])
+            if score >= 0:
+                found.append((int(p[at_]), int(p2[k]), int(q[at_]), int(q2[k])))
+        yield found[::-1]
+
+
+def anywhere(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[int, int, int, int] | None:
+    """Near stretches of ``t`` tokens or more of two texts, their tokens in any order, if there are any; none of a text's tokens should stand twice.
+
+    m of the tokens of two stretches are alike: 100 m >= percent (a + b - m) says that a sum over the second is high enough, so for each first
+    stretch the best second one is a greatest sum. First both texts lose the places where no near stretch can lie, and most have none left.
+    """
+    inside = [np.ones(len(x), bool), np.ones(len(y), bool)]
+    while True:
+        left = inside[0].sum() + inside[1].sum()
+        for k, (v, w) in enumerate(((x, y), (y, x))):
+            score = np.where(np.isin(v, w[inside[1 - k]]), 100 - percent, -percent)
+            inside[k] = covered(np.where(inside[k], score, _FAR), t)
+            if not inside[k].any():
+                return None
+        if inside[0].sum() + inside[1].sum() == left:
+            break
+    runs = [np.flatnonzero(np.diff(np.concatenate([[0], k.astype(np.int8), [0]]))).reshape(-1, 2).tolist() for k in inside]
+    for a, b in runs[0]:
+        for c, d in runs[1]:
+            own, where = np.unique(x[a:b], return_index=True)
+            at = np.minimum(np.searchsorted(own, y[c:d]), len(own) - 1)
+            place = np.where(own[at] == y[c:d], where[at], b - a)  # in x
+            if (np.diff(place[place < b - a]) > 0).all():
+                continue  # in one order: chains have found it
+            rows = max(1, _CELLS // (d - c))
+            for p in range(b - a - t + 1):
+                for q in range(p + t, b - a + 1, rows):
+                    ends = np.arange(q, min(q + rows, b - a + 1))
+                    score = np.where((place >= p) & (place < ends[:, None]), 100, -percent)
+                    sums = np.zeros((len(ends), d - c + 1), np.int64)
+                    # m (100 + percent) - percent (a + b), in which a token alike counts 100 of both
+                    np.cumsum(score, axis=1, out=sums[:, 1:])
+                    least = np.minimum.accumulate(sums[:, : d - c - t + 1], axis=1)
+                    best = sums[:, t:] - least - percent * (ends - p)[:, None]
+                    k = int(np.argmax(best))
+                    e, v = divmod(k, best.shape[1])
+                    if best[e, v] >= 0:
+                        return a + p, a + int(ends[e]), c + int(np.argmin(sums[e, : v + 1])), c + v + t
+    return None
+
+
+def verified_passages(x: _Text, y: _Text, t: int, percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """First and end token in x and in y of the near passages of two stretches."""
     kind = np.searchsorted(y.own, x.x)
     kind[kind == len(y.own)] = 0
     flags = y.own[kind] == x.x
-    done: list[tuple[int, int]] = []
-    for cost in (4, 8):  # the longer stretches first
+    single = len(y.own) == len(y.x) and len(np.unique(x.x)) == len(x.x)
+    if single and 100 * int(flags.sum()) < percent * t:
+        return
+    done: list[tuple[int, int, int, int]] = []
+
+    def good(p: int, q: int, u: int, v: int) -> bool:
+        if q - p < t or v - u < t or any(a <= p and q <= b and c <= u and v <= d for a, b, c, d in done):
+            return False
+        if _similar(x.x[p:q], y.x[u:v], percent):
+            done.append((p, q, u, v))
+            return True
+        return False
+
+    def wide(a: int, b: int, n: int) -> list[tuple[int, int]]:
+        return [(a, b)] if b - a >= t else [] if 100 * (b - a) < percent * t // 2 else list(dict.fromkeys([(max(0, min(a, n - t)), max(0, min(a, n - t)) + t), (max(0, b - t), max(0, b - t) + t)]))
+
+    for options in chains(x.x, y, kind, flags, percent / (100 - percent)):
+        tries = ((a, b, c, d) for p, q, u, v in options for a, b in wide(p, q, len(x.x)) for c, d in wide(u, v, len(y.x)))
+        if hit := next((w for w in tries if good(*w)), None):
+            yield hit
+    # passages whose parts stand in another order, or repeat tokens
+    for cost in () if single else (4, 8):
         for a, b in stretches(flags, cost):
-            if b - a < t or any(p <= a and b <= q for p, q in done):
+            mine = [w for w in dict.fromkeys((grown(flags, a, b, percent), (a, b))) if w[1] - w[0] >= t]
+            if not mine:
                 continue
-            moves = Counter(d - c for c, d in seeds if a <= c < b)
-            tries = [(*w, move) for w in dict.fromkeys((grown(flags, a, b, percent), (a, b))) for move, _ in moves.most_common()]
-            for p, q, move in tries:
-                found = passage(x.x, y, flags, kind, p, q, move, percent, t)
-                if found:
-                    done.append((p, q))
-                    yield p, q, *found
-                    break
+            hit = np.zeros(len(y.x), bool)
+            hit[y.there[np.isin(y.there >> 32, kind[a:b][flags[a:b]])] & 0xFFFFFFFF] = True
+            for c, d in stretches(hit, cost):
+                tries = ((*m, *n) for m in mine for n in dict.fromkeys(((c, d), grown(hit, c, d, percent))) if n[1] - n[0] >= t)
+                if found := next((w for w in tries if good(*w)), None):
+                    yield found
+    if single and not done and (found := anywhere(x.x, y.x, t, percent)) and good(*found):
+        yield found
 
 
 def _verify(t: int, shingle: int, percent: int):
-    """Kernel over (node, lead, seeds, both texts): verified passages, as rows of node, partner, first and end word; one row for either side."""
+    """Kernel over (node, s, lead, ls, tokens of both): verified passages, as rows of node, partner, first and end word; one row for either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, y = None, None
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for node, lead, seeds, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if lead != last:  # rows come by lead
-                    last, y = lead, _Text(q, shingle)
-                for a, b, low, high in verified_passages(_Text(p, shingle), y, [(s["c"], s["d"]) for s in seeds], t, percent):
-                    out += [(node, lead, a, b + shingle - 1), (lead, node, low, high + shingle - 1)]
+            for node, s, lead, ls, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lead, ls) != last:  # rows come by lead
+                    last, y = (lead, ls), _Text(q)
+                for a, b, low, high in verified_passages(_Text(p), y, t, percent):
+                    out += [(node, lead, s + a, s + b + shingle - 1), (lead, node, ls + low, ls + high + shingle - 1)]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "partner", "start", "end"])
 
     return run
 
 
-def _paired(open_: DataFrame, leads: DataFrame, only_best: bool) -> DataFrame:
-    """node, lead, seeds of open seeds with their group's lead; with ``only_best`` a node's lead with most seeds alone.
-
-    A passage reaches half its least length to one side of a seed at least, so what lies there must be alike in both texts.
-    """
-    # 60 % of a half's tokens are alike at the least, so are half of its bits; of unrelated halves of 23 tokens one in thirty is.
-    some = lambda x, y: 2 * F.bit_count(F.col(x).bitwiseAND(F.col(y))) >= F.least(F.bit_count(x), F.bit_count(y))
-    alike = some("after", "lead_after") | some("before", "lead_before")
-    met = open_.join(leads, "h").where("node <> lead").where(alike).groupBy("node", "lead").agg(F.collect_set(F.struct("c", "d")).alias("seeds"))  # no more than a text's windows
-    if only_best:
-        met = met.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy(F.size("seeds").desc(), "lead"))).where("k = 1").drop("k")
-    return met
-
-
 def _still_open(seeds: DataFrame, found: DataFrame) -> DataFrame:
     """Seeds outside the verified passages of their text."""
     spans = found.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # no more than a text has verified passages
@@ -320,52 +486,64 @@ def _still_open(seeds: DataFrame, found: DataFrame) -> DataFrame:
     return seeds.join(spans, "node", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
 
 
-def passages(docs: DataFrame, names: DataFrame, *, least: int, shingle: int, percent: int, functions: int) -> DataFrame:
+def passages(docs: DataFrame, names: DataFrame, *, least: int, shingle: int, percent: int, words: int) -> DataFrame:
     """node, partner, start, end (words): verified near-duplicate passages, a row for either side; docs: doc, text; names: doc, node (which stands for equal texts)."""
     spark, t = docs.sparkSession, least - shingle + 1
-    # Windows are cheap to make and bulky to keep, so they are made twice.
-    every = docs.mapInArrow(_seeds(t, shingle, functions), "h long, doc long, c int")
-    shared = every.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h")
-    shared = common.written(shared, "shared")
-    met = every.join(shared.hint("merge"), "h", "left_semi").join(names, "doc").where("doc = node").select("h", "node", "c")
-    places = met.groupBy("h", "node").agg(F.min("c").alias("c"))
-    wanted = places.groupBy("node").agg(F.collect_list(F.struct("h", "c")).alias("seeds"))  # no more than a text's windows
-    packed = docs.mapInArrow(_packed, "node long, packed binary")
-    texts = common.written(packed.join(wanted.hint("merge"), "node").dropDuplicates(["node"]), "texts")
-    half = (t + 1) // 2
-    seeds = common.written(texts.select("node", "packed", "seeds").mapInArrow(_marked(shingle, half), "h long, node long, c long, after long, before long"), "seeds")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        mine, other = texts.select("node", F.col("packed").alias("p")), texts.select(F.col("node").alias("lead"), F.col("packed").alias("q"))
-        both = pairs.join(mine, "node").join(other.hint("merge"), "lead").select("node", "lead", "seeds", "p", "q")
-        found = common.written(both.mapInArrow(_verify(t, shingle, percent), "node long, partner long, start long, end long"), name)
+    stand = names.where("doc = node").select("node")
+    texts = docs.mapInArrow(_packed, "node long, packed binary").join(stand.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    texts = common.written(texts.mapInArrow(_blocked, "node long, packed binary, block long"), "texts")
+    parts = 1 + words // _PART
+    counts = texts.mapInArrow(_counted(shingle, parts), "part long, block long, tokens binary, counts binary")
+    repeated = counts.groupBy("part").applyInArrow(_repeated, "block long, tokens binary, levels binary")
+    dense = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_dense(t, shingle, percent), "node long, s long, tokens binary, seeds array<struct<h:bigint,c:int>>")
+    dense = common.written(dense, "dense")
+    every = dense.select("node", "s", F.explode("seeds").alias("x")).select("x.h", "x.c", "node", "s")
+    shared = every.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("h")
+    seeds = common.written(every.join(shared.hint("merge"), "h", "left_semi"), "seeds")
+    side = ["node", "s", "lead", "ls"]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        mine, other = dense.select("node", "s", F.col("tokens").alias("p")), dense.select(F.col("node").alias("lead"), F.col("s").alias("ls"), F.col("tokens").alias("q"))
+        both = pairs.select(side).join(mine.hint("merge"), ["node", "s"]).join(other.hint("merge"), ["lead", "ls"]).select(*side, "p", "q")
+        found = common.written(both.mapInArrow(_verify(t, shingle, percent), "node long, partner long, start long, end long"), "passages")
         spark._jvm.System.gc()  # lets go of the shuffles of rounds that are over
         return found
 
-    def chosen(rows: DataFrame, best) -> DataFrame:
-        return rows.groupBy("h").agg(best.alias("l")).select("h", F.col("l.node").alias("lead"), F.col("l.c").alias("d"), F.col("l.after").alias("lead_after"), F.col("l.before").alias("lead_before"))
+    def untried(pairs: DataFrame) -> DataFrame:
+        """Pairs of stretches that haven't met, either way round."""
+        back = tried.select(F.col("lead").alias("node"), F.col("ls").alias("s"), F.col("node").alias("lead"), F.col("s").alias("ls"))
+        return pairs.join(tried.unionByName(back), side, "left_anti")
 
-    first = chosen(seeds, F.min(F.struct("node", "c", "after", "before")))
-    best = common.written(_paired(seeds, first, True), "pairs")
-    found, tried, fresh = verified(best, "passages"), best.select("node", "lead"), None
+    def led(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h").agg(F.min(F.struct("node", "s")).alias("l")).select("h", F.col("l.node").alias("lead"), F.col("l.s").alias("ls"))
+
+    met = seeds.join(led(seeds), "h").where("node <> lead").groupBy(side).agg(F.count("*").alias("n"))
+    best = met.withColumn("k", F.row_number().over(W.partitionBy("node", "s").orderBy(F.col("n").desc(), "lead", "ls"))).where("k = 1")
+    tried = common.written(best.select(side), "tried")
+    found = verified(tried)
     while True:
+        # Places that no verified passage covers meet their group's lead, and the least of those that are left.
         open_ = common.written(_still_open(seeds, found), "open")
-        degree = found.groupBy("node").agg(F.count_distinct("partner").alias("k"))
-        hubs = chosen(seeds.join(degree, "node"), F.max(F.struct("k", (-F.col("node")).alias("order"), "node", "c", "after", "before")))
-        own = chosen(open_, F.min(F.struct("node", "c", "after", "before")))
-        leads = (first if fresh is None else own).unionByName(hubs).unionByName(own).distinct()
-        known = tried.unionByName(found.select("node", F.col("partner").alias("lead"))).distinct()
-        pairs = common.written(_paired(open_, leads, False).join(known, ["node", "lead"], "left_anti"), "pairs")
-        fresh = verified(pairs, "passages_more")
+        leads = led(seeds).unionByName(led(open_)).distinct()
+        pairs = common.written(untried(open_.join(leads, "h").where("node <> lead").select(side).distinct()), "pairs")
+        fresh = verified(pairs)
+        tried = common.written(tried.unionByName(pairs), "tried")
         if not fresh.limit(1).count():
-            return found
+            break
         found = common.written(found.unionByName(fresh), "passages")
-        tried = common.written(tried.unionByName(pairs.select("node", "lead")), "tried")
-        # A lead that has met all that is open goes, so that others get their turn.
-        seeds = common.written(seeds.join(own.select("h", F.col("lead").alias("node")), ["h", "node"], "left_anti"), "seeds")
-
-
-def near_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50, shingle: int = 5, percent: int = 80, functions: int = 3) -> DataFrame:
+    # All other pairs of a group whose texts aren't in one class yet: one of them at least is outside the group's largest class.
+    component = components(found.select(F.col("node").alias("a"), F.col("partner").alias("b")))
+    classed = seeds.select("h", "node", "s").distinct().join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = classed.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("classes"))
+    classed = common.written(classed.join(sizes.where("classes > 1").select("h", F.col("top.component").alias("top")), "h"), "classed")
+    outside = classed.where("component <> top").select("h", "node", "s", F.col("component").alias("own"))
+    others = classed.select("h", F.col("node").alias("lead"), F.col("s").alias("ls"), "component", "top")
+    pairs = outside.join(others, "h").where("own <> component and (component = top or node < lead)").select(side).distinct()
+    pairs = common.written(untried(pairs), "pairs")
+    return common.written(found.unionByName(verified(pairs)), "passages")
+
+
+def near_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_words, n_near (words in passages that stand in another row too), spans (of words, merged), n_partners, class_id, kept.
 
     A passage is ``least`` words or more; two are near when 100 * intersection >= percent * union of their sets of ``shingle``-word shingles.
@@ -379,7 +557,8 @@ def near_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = keyed.where("key is not null and doc_id is not null")
     groups = common.written(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies")), "groups")
     names = common.written(named.join(groups, "key").groupBy(F.col("doc_id").alias("doc")).agg(F.min("node").alias("node")), "names")
-    found = passages(base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), names, least=least, shingle=shingle, percent=percent, functions=functions)
+    words = keyed.agg(F.sum("n_words")).first()[0] or 0
+    found = passages(base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), names, least=least, shingle=shingle, percent=percent, words=words)
     component = components(found.select(F.col("node").alias("a"), F.col("partner").alias("b"))).withColumnRenamed("id", "node")
     per = found.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"), F.count_distinct("partner").alias("partners"))
     start = F.array().cast("array<struct<start:bigint,end:bigint>>")

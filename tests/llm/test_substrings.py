@@ -119,3 +119,62 @@ def test_least_places_have_windows_and_stretches_are_maximal():
         sums = [int(score[b] - score[a]) for a, b in found]
         assert max(sums, default=0) == max(0, max(int((score[i:] - score[i]).max()) for i in range(61)))
         assert all(b <= c for (_, b), (c, _) in zip(found, found[1:], strict=False)) and all(x > 0 for x in sums)
+
+
+def _near(x, y, t, percent):
+    """Whether any stretches of t tokens or more have the similarity, by trying all."""
+    for i in range(len(x) - t + 1):
+        for j in range(i + t, len(x) + 1):
+            u = set(x[i:j])
+            for k in range(len(y) - t + 1):
+                for end in range(k + t, len(y) + 1):
+                    both = len(u.intersection(y[k:end]))
+                    if 100 * both >= percent * (len(u) + len(set(y[k:end])) - both):
+                        return True
+    return False
+
+
+def test_all_near_pairs_share_a_seed_and_are_verified():
+    rng = random.Random(9)
+    near = 0
+    for _ in range(150):
+        base = rng.sample(range(10**6), rng.randrange(8, 18))
+        pair = []
+        for _ in range(2):
+            out = list(base)
+            for _ in range(rng.randrange(3)):
+                at, kind = rng.randrange(len(out)), rng.randrange(4)
+                new = rng.sample(range(10**6, 10**7), rng.randrange(1, 4))
+                out = [out[:at] + new + out[at + 1 :], out[:at] + out[at + 1 :], out[:at] + new + out[at:], out[at:] + out[:at]][kind] or new
+            pair.append(np.array(rng.sample(range(10**7, 10**8), 2) + out + rng.sample(range(10**7, 10**8), 2), np.uint64))
+        x, y = pair
+        want = _near(x.tolist(), y.tolist(), 8, 80)
+        assert bool(list(S.verified_passages(S._Text(S._six(x)), S._Text(S._six(y)), 8, 80))) == want
+        if want:
+            near += 1
+            shared = np.isin(x, y), np.isin(y, x)
+            seeds = [set(v[S.seeds_of(np.where(w, (v % np.uint64(7)).astype(np.int64), -1), np.zeros(len(v), bool), 8, 80)].tolist()) for v, w in zip(pair, shared, strict=True)]
+            assert seeds[0] & seeds[1]
+    assert near > 50
+
+
+def test_no_near_pair_is_left_out(spark):
+    m = _Made(11)
+    rows, want = [], {}
+    for k in range(60):
+        p = m.words(50)
+        q, r = m.words(52), m.words(52)
+        # of 46 shingles 41 are alike: the least that suffices; two copies with other words between them; and a text whose copies are near to it alone
+        pairs = [(p, [*p[:45], *m.words(5)]), (q + r, q + m.words(60) + r)]
+        for n, (x, y) in enumerate(pairs):
+            a = 100 * k + 10 * n
+            rows += [(a, " ".join(m.words(20) + x + m.words(20))), (a + 1, " ".join(m.words(20) + y + m.words(20)))]
+            want |= {a: a, a + 1: a}
+    # b and c are near each other, a to neither, though it has tokens of both
+    b = m.words(90)
+    a = b[:40] + m.words(15) + b[40:80]
+    c = [*b[:88], *m.words(2)]
+    rows += [(10_001, " ".join(a)), (10_002, " ".join(b)), (10_003, " ".join(c))]
+    want |= {10_001: 10_001, 10_002: 10_002, 10_003: 10_002}
+    found = _run(spark, rows)
+    assert {i: r.class_id for i, r in found.items()} == want
