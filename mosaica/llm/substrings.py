@@ -184,6 +184,39 @@ def covered(score: np.ndarray, t: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def covered_once(score: np.ndarray, gap: np.ndarray, t: int) -> np.ndarray:
+    """Which places may lie in a stretch of ``t`` or more whose distinct tokens have scores of 0 or more in all; ``gap``: how far back the same token stood, 0 for none.
+
+    A stretch's first ``t`` tokens count exactly, each distinct one once. Of those after them, a token that stood no more than ``t`` before counts nothing,
+    and one that stood earlier counts nothing if its score is negative: it may be in the stretch already. Without repeats this is ``covered``.
+    """
+    n = len(score)
+    if n < t:
+        return np.zeros(n, bool)
+    # a place is its token's first in the stretches that start after the place before, and up to itself
+    first = np.arange(n) - np.where(gap > 0, np.minimum(gap, t), t) + 1
+    heads = np.cumsum(np.bincount(np.maximum(first, 0), score, n) - np.concatenate([[0], score[:-1]]))[: n - t + 1]
+    sums = np.concatenate([[0.0], np.cumsum(np.where((gap == 0) | (score > 0) & (gap > t), score, 0), dtype=float)])
+    # the last end that is no lower than it must be: where the maximum of all later ends gets there
+    later = np.maximum.accumulate(sums[::-1])[::-1]
+    ends = np.searchsorted(-later, heads - sums[t:], "right") - 1
+    starts = np.arange(n - t + 1)
+    good = ends >= starts + t
+    edge = np.bincount(starts[good], minlength=n + 1) - np.bincount(ends[good], minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def gaps(v: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of their tokens, and how far back the same token stood in the same row, 0 for none."""
+    order = np.argsort(v, kind="stable")
+    back = np.diff(order, prepend=0)
+    back[:1] = 0
+    back[1:][(v[order[1:]] != v[order[:-1]]) | (row[order[1:]] != row[order[:-1]])] = 0
+    gap = np.empty(len(v), np.int64)
+    gap[order] = back
+    return order, gap
+
+
 def _shrunk(v: np.ndarray) -> bytes:
     """Sorted whole numbers as the byte planes of their differences, compressed."""
     return zstandard.compress(np.diff(v, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
@@ -229,7 +262,7 @@ def _unpacked(packed: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _counted(shingle: int, parts: int):
-    """Kernel over (node, packed, block): the tokens of each block and how often they stand there, dealt into parts."""
+    """Kernel over (node, packed, block): the tokens of each block and in how many of its texts they stand, dealt into parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +271,12 @@ def _counted(shingle: int, parts: int):
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
                 if a == b:
                     continue
-                v, none, _ = _unpacked(packed[a:b], shingle)
-                v, n = np.unique(v[~none], return_counts=True)
-                part = (v % np.uint64(parts)).astype(np.int64)
+                v, none, first = _unpacked(packed[a:b], shingle)
+                order, gap = gaps(v, np.repeat(np.arange(b - a), np.diff(first)))
+                v = v[order][(~none & (gap == 0))[order]]
+                new = np.flatnonzero(np.diff(v, prepend=~v[:1]))
+                v, n = v[new], np.diff(new, append=len(v))
+                part = (v % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers sort in linear time
                 order = np.argsort(part, kind="stable")
                 bound = np.searchsorted(part[order], np.arange(parts + 1))
                 rows = [(p, order[bound[p] : bound[p + 1]]) for p in range(parts) if bound[p] < bound[p + 1]]
@@ -253,7 +289,7 @@ def _counted(shingle: int, parts: int):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of each block's tokens in one part those that stand twice or more in all blocks, with a level that rises with their number."""
+    """Of each block's tokens in one part those that stand in two texts or more, with a level that rises with their number."""
     rows = [(_unshrunk(v), np.frombuffer(zstandard.decompress(n), np.uint32)) for v, n in zip(table.column("tokens").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     own, number = np.unique(np.concatenate([v for v, _ in rows]), return_inverse=True)
     total = np.bincount(number, np.concatenate([n for _, n in rows]), len(own))
@@ -266,19 +302,26 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "tokens": pa.array([x for x, _ in out], pa.binary()), "levels": pa.array([x for _, x in out], pa.binary())})
 
 
-def seeds_of(level: np.ndarray, again: np.ndarray, t: int, percent: int) -> np.ndarray:
-    """Which tokens can be the least that two near passages share; ``level``: -1 for tokens that stand nowhere else, ``again``: those that stand twice in their text.
+def _walled(gap: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Gaps without those that reach over a place without a token."""
+    place = np.arange(len(level))
+    return np.where(place - gap > np.maximum.accumulate(np.where(level == _NONE, place, -1)), gap, 0)
+
+
+def seeds_of(level: np.ndarray, gap: np.ndarray, t: int, percent: int) -> np.ndarray:
+    """Which tokens can be the least that two near passages share; ``level``: -1 for tokens in no other text, ``gap``: how far back the same token stood in the text, 0 for none.
 
     Of a passage's distinct tokens (100 - ``percent``) % at most aren't in the other, and all that are less than the least shared one are among them.
     """
     found = np.zeros(len(level), bool)
-    at, near = np.arange(len(level)), level != _NONE
+    at, near, gap = np.arange(len(level)), level != _NONE, _walled(gap, level)
     for k in np.unique(level[level >= 0]):
         if 3 * near.sum() < 2 * len(at):  # where no passage lies now, none lies at higher levels: a place beside each stretch is enough
             kept = near.copy()
             kept[1:] |= near[:-1]
-            at, level, again, near = at[kept], np.where(near, level, _NONE)[kept], again[kept], near[kept]
-        near = covered(np.where(level == _NONE, _FAR, np.where((level < k) & ~again, -percent, 100 - percent)), t)
+            at, level, gap, near = at[kept], np.where(near, level, _NONE)[kept], gap[kept], near[kept]
+            gap = _walled(gap, level)
+        near = covered_once(np.where(level == _NONE, _FAR, np.where(level < k, -percent, 100 - percent)), gap, t)
         found[at[near & (level == k)]] = True
         if not near.any():
             break
@@ -296,18 +339,17 @@ def _dense(t: int, shingle: int, percent: int):
             v, none, first = _unpacked(texts.column("packed").to_pylist(), shingle)
             of = np.frombuffer(b"".join(zstandard.decompress(x) for x in repeated.column("levels").to_pylist()), np.uint8)
             known, where = np.unique(known, return_index=True)
-            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            order, gap = gaps(v, np.repeat(np.arange(len(first) - 1), np.diff(first)))
+            gap[none] = 0
+            at = np.empty(len(v), np.int64)
+            at[order] = np.minimum(np.searchsorted(known, v[order]), len(known) - 1)
             level = np.where(known[at] == v, of[where][at].astype(np.int64) * 4 + (v & np.uint64(3)).astype(np.int64), -1)
-            inside = covered(np.where(none, _FAR, np.where(level >= 0, 100 - percent, -percent)), t)
+            inside = covered_once(np.where(none, _FAR, np.where(level >= 0, 100 - percent, -percent)), gap, t)
             level[~inside] = _NONE
             edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
             low, high = edge[::2], edge[1::2]
             row = np.searchsorted(first, low, "right") - 1
-            own = np.flatnonzero(inside)
-            _, number, times = np.unique(v[own] ^ common.mix(np.repeat(row, high - low).astype(np.uint64)), return_inverse=True, return_counts=True)
-            again = np.zeros(len(v), bool)
-            again[own] = times[number] > 1
-            seed = np.flatnonzero(seeds_of(level, again, t, percent))
+            seed = np.flatnonzero(seeds_of(level, gap, t, percent))
             node, start = texts.column("node").to_numpy()[row], low - first[row]
             out = [_six(v[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             h, c = v[seed].astype(np.int64), (seed - first[np.searchsorted(first, seed, "right") - 1]).astype(np.int32)
@@ -325,6 +367,9 @@ class _Text:
         self.x = _unsix(raw)
         self.own, number = np.unique(self.x, return_inverse=True)
         self.there = np.sort(number.astype(np.int64) << 32 | np.arange(len(self.x)))
+        place = self.there & 0xFFFFFFFF
+        self.gap = np.zeros(len(self.x), np.int64)  # how far back the same token stood, 0 for none
+        self.gap[place[1:]] = np.where(np.diff(self.there >> 32) == 0, np.diff(place), 0)
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -425,9 +470,19 @@ def verified_passages(x: _Text, y: _Text, t: int, percent: int) -> Iterator[tupl
     kind = np.searchsorted(y.own, x.x)
     kind[kind == len(y.own)] = 0
     flags = y.own[kind] == x.x
-    single = len(y.own) == len(y.x) and len(np.unique(x.x)) == len(x.x)
+    single = len(y.own) == len(y.x) and len(x.own) == len(x.x)
     if single and 100 * int(flags.sum()) < percent * t:
         return
+    # most have no stretch in which enough tokens are alike, on one side or the other
+    inside = covered_once(np.where(flags, 100 - percent, -percent), x.gap, t)
+    if not inside.any():
+        return
+    alike = np.zeros(len(y.own), bool)
+    alike[kind[flags & inside]] = True
+    hit = np.zeros(len(y.x), bool)
+    hit[(y.there & 0xFFFFFFFF)[alike[y.there >> 32]]] = True
+    if not covered_once(np.where(hit, 100 - percent, -percent), y.gap, t).any():
+        return
     done: list[tuple[int, int, int, int]] = []
 
     def good(p: int, q: int, u: int, v: int) -> bool:
@@ -486,8 +541,8 @@ def _still_open(seeds: DataFrame, found: DataFrame) -> DataFrame:
     return seeds.join(spans, "node", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
 
 
-def passages(docs: DataFrame, names: DataFrame, *, least: int, shingle: int, percent: int, words: int) -> DataFrame:
-    """node, partner, start, end (words): verified near-duplicate passages, a row for either side; docs: doc, text; names: doc, node (which stands for equal texts)."""
+def passages(docs: DataFrame, names: DataFrame, *, least: int, shingle: int, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """node, partner, start, end (words): verified near-duplicate passages, a row for either side; and links a, b that join the same classes. docs: doc, text; names: doc, node (which stands for equal texts)."""
     spark, t = docs.sparkSession, least - shingle + 1
     stand = names.where("doc = node").select("node")
     texts = docs.mapInArrow(_packed, "node long, packed binary").join(stand.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
@@ -526,6 +581,8 @@ def passages(docs: DataFrame, names: DataFrame, *, least: int, shingle: int, per
         open_ = common.written(_still_open(seeds, found), "open")
         leads = led(seeds).unionByName(led(open_)).distinct()
         pairs = common.written(untried(open_.join(leads, "h").where("node <> lead").select(side).distinct()), "pairs")
+        if pairs.isEmpty():
+            break
         fresh = verified(pairs)
         tried = common.written(tried.unionByName(pairs), "tried")
         if not fresh.limit(1).count():
@@ -533,14 +590,18 @@ def passages(docs: DataFrame, names: DataFrame, *, least: int, shingle: int, per
         found = common.written(found.unionByName(fresh), "passages")
     # All other pairs of a group whose texts aren't in one class yet: one of them at least is outside the group's largest class.
     component = components(found.select(F.col("node").alias("a"), F.col("partner").alias("b")))
-    classed = seeds.select("h", "node", "s").distinct().join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = classed.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("classes"))
-    classed = common.written(classed.join(sizes.where("classes > 1").select("h", F.col("top.component").alias("top")), "h"), "classed")
+    classed = seeds.join(component.withColumnRenamed("id", "node"), "node", "left").select("h", "node", "s", F.coalesce("component", "node").alias("component"))
+    mixed = classed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+    classed = common.written(classed.join(mixed, "h", "left_semi").distinct(), "classed")
+    sizes = classed.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "component")).alias("top"))
+    classed = common.written(classed.join(sizes.select("h", F.col("top.component").alias("top")), "h"), "classed")
     outside = classed.where("component <> top").select("h", "node", "s", F.col("component").alias("own"))
     others = classed.select("h", F.col("node").alias("lead"), F.col("s").alias("ls"), "component", "top")
     pairs = outside.join(others, "h").where("own <> component and (component = top or node < lead)").select(side).distinct()
     pairs = common.written(untried(pairs), "pairs")
-    return common.written(found.unionByName(verified(pairs)), "passages")
+    fresh = verified(pairs)
+    links = component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh.select(F.col("node").alias("a"), F.col("partner").alias("b")))
+    return common.written(found.unionByName(fresh), "passages"), links
 
 
 def near_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -558,8 +619,8 @@ def near_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     groups = common.written(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies")), "groups")
     names = common.written(named.join(groups, "key").groupBy(F.col("doc_id").alias("doc")).agg(F.min("node").alias("node")), "names")
     words = keyed.agg(F.sum("n_words")).first()[0] or 0
-    found = passages(base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), names, least=least, shingle=shingle, percent=percent, words=words)
-    component = components(found.select(F.col("node").alias("a"), F.col("partner").alias("b"))).withColumnRenamed("id", "node")
+    found, links = passages(base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), names, least=least, shingle=shingle, percent=percent, words=words)
+    component = components(links).withColumnRenamed("id", "node")
     per = found.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"), F.count_distinct("partner").alias("partners"))
     start = F.array().cast("array<struct<start:bigint,end:bigint>>")
     joined = F.aggregate(

@@ -178,3 +178,48 @@ def test_no_near_pair_is_left_out(spark):
     want |= {10_001: 10_001, 10_002: 10_002, 10_003: 10_002}
     found = _run(spark, rows)
     assert {i: r.class_id for i, r in found.items()} == want
+
+
+def test_repeats_of_one_token_count_once():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        t, v = int(rng.integers(1, 9)), np.repeat(rng.integers(0, rng.choice([3, 9, 99]), 14), rng.integers(1, 4, 14))
+        bad, row = rng.integers(0, 99, 30) % 2 == 0, np.sort(rng.integers(0, 2, len(v)))
+        isbad = bad[v % 30]
+        order, gap = S.gaps(v.astype(np.uint64), row)
+        assert (np.diff(v[order]) >= 0).all()
+        assert gap.tolist() == [min((p - q for q in range(p) if v[q] == v[p] and row[q] == row[p]), default=0) for p in range(len(v))]
+        mine = row == 0
+        got = S.covered_once(np.where(isbad[mine], -80, 20), gap[mine], t)
+        n = len(got)
+        want = np.zeros(n, bool)
+        for i in range(n):
+            for j in range(i + t, n + 1):
+                own = set(zip(v[i:j].tolist(), isbad[i:j].tolist(), strict=True))
+                if sum(-80 if x else 20 for _, x in own) >= 0:
+                    want[i:j] = True
+        assert not (want & ~got).any()  # it may say more, not less
+        assert (S.covered_once(np.where(isbad, -80, 20), np.zeros(len(v), np.int64), t) == S.covered(np.where(isbad, -80, 20), t)).all()
+
+
+def test_texts_of_repeated_words_make_no_pairs(spark, monkeypatch):
+    """Each repeats its own words, and one or two that all have: no two are near, and none may be compared with all others."""
+    m = _Made(13)
+    rows = []
+    for i in range(120):
+        runs = [[w] * 20 for w in m.words(8)]
+        runs[4:4] = [["the"] * 20]
+        own = m.words(30)  # a sentence said six times, after a line that all have
+        rows += [(2 * i, " ".join(sum(runs, []))), (2 * i + 1, " ".join(["it", "was", "the", "same", "old", "line", "again", *own * 6]))]
+    met, keep = [], S.common.written
+
+    def written(df, name):
+        out = keep(df, name)
+        if name == "pairs" or name == "tried":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(S.common, "written", written)
+    found = _run(spark, rows)
+    assert all((r.n_near, r.class_id) == (0, i) for i, r in found.items())
+    assert sum(met) == 0
