@@ -21,13 +21,14 @@ settles is compared in the square of its number. Components run as star rounds o
 
 from __future__ import annotations
 
+import contextlib
 import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ from .components import components
 _LOW = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 23
 #: Tokens that a task counts at once, compressed bytes of texts in a block.
-_PART, _PACKED = 2_000_000, 3_000_000
+_PART, _PACKED = 2_000_000, 2_000_000
+#: Pairs of stretches that a worker holds at once, with their tokens.
+_PAIRS = 500
 #: Levels and scores of places without a token, or out of question.
 _NONE, _FAR = -2, -(1 << 30)
 #: Sums that are held at once when stretches are compared in any order.
@@ -131,7 +134,8 @@ def _texts(least: int, shingle: int):
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "packed"])
+        data, offsets = common.text_bytes(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "packed"])
 
 
 def stretches(flags: np.ndarray, cost: int) -> list[tuple[int, int]]:
@@ -253,7 +257,10 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpacked(packed: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """48-bit tokens of texts one after the other, which places hold none (the last of each row), and each row's first place."""
     raw = [zstandard.decompress(x) for x in packed]
-    h, first = tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]), shingle)
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw])
+    parts = [tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle) for a, b in common.slices(offsets)]
+    h, sizes = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in parts)]), np.concatenate([np.zeros(1, np.int64), *(np.diff(f) for _, f in parts)])
+    first = np.cumsum(sizes)
     none = np.zeros(len(h), bool)
     for k in range(1, shingle):
         at = first[1:] - k
@@ -534,6 +541,18 @@ def _verify(t: int, shingle: int, percent: int):
     return run
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that are made in here send their workers ``_PAIRS`` rows at once: a row with the tokens of two long texts is large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(_PAIRS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _still_open(seeds: DataFrame, found: DataFrame) -> DataFrame:
     """Seeds outside the verified passages of their text."""
     spans = found.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # no more than a text has verified passages
@@ -560,7 +579,8 @@ def passages(docs: DataFrame, names: DataFrame, *, least: int, shingle: int, per
     def verified(pairs: DataFrame) -> DataFrame:
         mine, other = dense.select("node", "s", F.col("tokens").alias("p")), dense.select(F.col("node").alias("lead"), F.col("s").alias("ls"), F.col("tokens").alias("q"))
         both = pairs.select(side).join(mine.hint("merge"), ["node", "s"]).join(other.hint("merge"), ["lead", "ls"]).select(*side, "p", "q")
-        found = common.written(both.mapInArrow(_verify(t, shingle, percent), "node long, partner long, start long, end long"), "passages")
+        with _small_batches(spark):
+            found = common.written(both.mapInArrow(_verify(t, shingle, percent), "node long, partner long, start long, end long"), "passages")
         spark._jvm.System.gc()  # lets go of the shuffles of rounds that are over
         return found
 

@@ -1,6 +1,7 @@
 """op1: compact windows by definition, planted passages, stars of copies, and the defined cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -223,3 +224,21 @@ def test_texts_of_repeated_words_make_no_pairs(spark, monkeypatch):
     found = _run(spark, rows)
     assert all((r.n_near, r.class_id) == (0, i) for i, r in found.items())
     assert sum(met) == 0
+
+
+def test_a_block_of_texts_takes_little_memory_and_batches_of_pairs_are_small(spark):
+    words = _Made(14).words(15_000)
+    texts = [" ".join(words[i * 100 :] + words[: i * 100]) for i in range(90)] + ["", "a b"]
+    packed, size = [S.zstandard.compress(t.encode()) for t in texts], sum(map(len, texts))
+    S.common._powers.clear()
+    tracemalloc.start()
+    v, none, first = S._unpacked(packed, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * size, peak / size
+    h, whole = S.tokens(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts]), 5)
+    assert first.tolist() == whole.tolist() and (v == h >> np.uint64(16))[~none].all() and none.sum() == 90 * 4 + 2
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with S._small_batches(spark):
+        assert max(spark.range(0, 2000, 1, 1).mapInArrow(lambda rows: (b.slice(0, 1).set_column(0, "n", S.pa.array([b.num_rows])) for b in rows), "n long").toPandas()["n"]) == S._PAIRS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
