@@ -121,6 +121,15 @@ def test_alignment_known_answer():
     assert [s.rule for s in segments] == ["align.dropped", None, "align.dropped", "align.separator", None, "align.gap"]
 
 
+def test_alignment_finds_long_lines_and_lines_behind_many_short_ones():
+    text = "\n".join(["w" * 70_000, "x" * 200_000, *["short"] * 30_000, "the line behind them", "", "a" * 12])
+    for end in ("\n", "\r\n", "\r"):
+        segments, hits, misses = K.aligned(text.replace("\n", end), text)
+        K.checked(segments, len(text))
+        assert (hits, misses) == (4, 0)
+    assert K.aligned("." * 99 + "a line of text", "a line of text", window=98)[1:] == (0, 1)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title></head><body><nav><a href="/">Home</a></nav>
 <article><h2>Head</h2><p>One &amp; <b>two</b>&nbsp;&#x41; &unknown; <a href=x>a</a> <i>b</i></p><br><br/><!-- no --><p>Last</article><footer>f</footer><form>rest<p>lost"""
 
