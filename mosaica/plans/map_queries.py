@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaica.functions import text, urls
-from mosaica.operators import convert, corpus, kernels, maps
+from mosaica.operators import convert, corpus, kernels, maps, reading
 from mosaica.plans.registry import decorated, query, table
 
 
@@ -244,14 +244,9 @@ def external_converter(spark, sf_dir):
 
 
 def _placed(spark, sf_dir: str, name: str) -> DataFrame:
-    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))  # a page's strings
-
-    @F.udf("string", useArrow=True)
-    def read(rows):
-        placed = [kernels.Placed(r["event_type"], 100.0 * (r["event_id"] % 3) + r["event_id"] % 7, 20.0 * (r["event_id"] // 21 % 5) + r["event_id"] // 105 % 3) for r in rows]
-        return kernels.ordered_text(kernels.ORDERS[name](placed))
-
-    return runs.select("user_id", F.sha2(read("r"), 256).alias("hash"))
+    x, y = 100 * (F.col("event_id") % 3) + F.col("event_id") % 7, 20 * (F.expr("event_id div 21") % 5) + F.expr("event_id div 105") % 3
+    runs = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("n"), F.col("event_type").alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return reading.ordered(runs, ["user_id"], name).select("user_id", F.sha2("text", 256).alias("hash"))
 
 
 _RUNS = "(select user_id, event_id, event_type, event_id % 3 as side, 100 * (event_id % 3) + event_id % 7 as x, event_id // 21 % 5 as base from events)"
