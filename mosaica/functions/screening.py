@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaica import dims
+from mosaica.functions import batches
 
 SHORTEST, HEX_BITS, WIDE_BITS = 20, 3.0, 4.5
 _FOUND = "array<struct<rule:string,label:string,start:int,end:int,characters:int,hash:string>>"
@@ -61,13 +62,12 @@ def suspicious(text: Column, tiers: tuple[str, ...] = ("signatures",)) -> Column
 def found(text: Column, tiers: tuple[str, ...] = ("signatures",)) -> Column:
     """Array of findings of a text, by start, end and rule; empty for null."""
 
-    @F.udf(_FOUND, useArrow=True)
     def screen(t):
         if t is None:
             return None
         return [{"rule": r, "label": n, "start": a, "end": b, "characters": b - a, "hash": "sha256:" + hashlib.sha256(t[a:b].encode()).hexdigest()} for r, n, a, b in _ranges(t, tiers)]
 
-    return F.coalesce(screen(F.when(suspicious(text, tiers), text)), F.array().cast(_FOUND))
+    return F.coalesce(batches.kernel(screen, _FOUND)(F.when(suspicious(text, tiers), text)), F.array().cast(_FOUND))
 
 
 def findings(df: DataFrame, keys: list[str], text_col: str, tiers: tuple[str, ...] = ("signatures",)) -> DataFrame:

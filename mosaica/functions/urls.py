@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mosaica import dims
+from mosaica.functions import batches
 from mosaica.functions.text import content_hash
 from mosaica.operators import kernels
 from mosaica.operators.maps import SEGMENT
@@ -94,18 +95,16 @@ _CLEANSED = f"struct<text:string,segments:array<{SEGMENT}>,removals:array<struct
 def urls(text: Column) -> Column:
     """Array of start, end of all URLs of a text; texts without one don't reach the kernel."""
 
-    @F.udf(_SPANS, useArrow=True)
     def find(t):
         return None if t is None else [{"start": a, "end": b} for a, b in kernels.urls(t)]
 
-    return F.coalesce(find(F.when(has_url(text), text)), F.when(text.isNotNull(), F.array().cast(_SPANS)))
+    return F.coalesce(batches.kernel(find, _SPANS)(F.when(has_url(text), text)), F.when(text.isNotNull(), F.array().cast(_SPANS)))
 
 
 def cleansing(text: Column, pack: dims.Ruleset = dims.CORE) -> Column:
     """struct of the cleansed text, its map and its removals. Rows without a URL get the identity map natively."""
     import hashlib
 
-    @F.udf(_CLEANSED, useArrow=True)
     def clean(t):
         if t is None:
             return None
@@ -116,4 +115,4 @@ def cleansing(text: Column, pack: dims.Ruleset = dims.CORE) -> Column:
     n = F.length(text)
     one = F.array(F.struct(F.lit(0).alias("out_start"), n.alias("out_end"), F.lit(0).alias("src_start"), n.alias("src_end"), F.lit("verbatim").alias("kind"), F.lit(None).cast("string").alias("rule")))
     same = F.struct(text.alias("text"), F.when(n > 0, one).otherwise(F.array().cast(f"array<{SEGMENT}>")).alias("segments"), F.array().cast("array<struct<rule:string,kind:string,start:int,end:int,characters:int,hash:string>>").alias("removals"))
-    return F.coalesce(clean(F.when(has_url(text), text)), F.when(text.isNotNull(), same))
+    return F.coalesce(batches.kernel(clean, _CLEANSED)(F.when(has_url(text), text)), F.when(text.isNotNull(), same))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.functions import text, urls
+from mosaica.functions import batches, text, urls
 from mosaica.operators import convert, corpus, kernels, maps, reading
 from mosaica.plans.registry import decorated, query, table
 
@@ -222,13 +222,13 @@ def pdf_text(spark, sf_dir):
 def align_lines(spark, sf_dir):
     """Lines of an extracted text found in its source, in order."""
 
-    @F.udf("struct<hits:long,misses:long>", useArrow=True)
     def counted(source, output):
         segments, hits, misses = kernels.aligned(source, output)
         kernels.checked(segments, len(output))
         return {"hits": hits, "misses": misses}
 
-    rows = decorated(spark, sf_dir, "crlf").withColumn("c", counted("text", text.normalized(F.col("text"))))
+    count = batches.kernel(counted, "struct<hits:long,misses:long>")
+    rows = decorated(spark, sf_dir, "crlf").withColumn("c", count("text", text.normalized(F.col("text"))))
     return rows.select("doc_id", F.col("c.hits").alias("matched"), F.col("c.misses").alias("missed"))
 
 
