@@ -6,8 +6,9 @@ A snapshot has path and hash. A journal has ``entries`` (entry_seq, run_id, pare
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,11 +121,12 @@ def blame_followed(changes: DataFrame, paths: DataFrame | None = None) -> DataFr
     """path, first_seen, last_touched, revisions, formerly: as ``blame``, but a move carries a path's history to its new name.
 
     Histories of paths that moves tie together are worked out together: the ties are followed by joins (as many rounds as the longest chain
-    of names), and each such family is one group. Families are as small as the renames of one document.
+    of names) of the tied names only, any other path is a family of its own. A worker reads its families in the order of their entries,
+    and holds the paths of one at a time.
     """
     changes = storage.written(changes, "changes")
     tied = storage.written(moves(changes), "moves")
-    family = changes.select("path").distinct().withColumn("family", F.col("path"))
+    family = tied.select(F.col("old").alias("path")).union(tied.select(F.col("new").alias("path"))).distinct().withColumn("family", F.col("path"))
     while True:
         up = tied.join(family.select(F.col("path").alias("old"), F.col("family").alias("f")), "old").select(F.col("new").alias("path"), "f").union(tied.join(family.select(F.col("path").alias("new"), F.col("family").alias("f")), "new").select(F.col("old").alias("path"), "f"))
         lower = family.join(up.groupBy("path").agg(F.min("f").alias("f")), "path", "left").select("path", F.least("family", F.coalesce("f", "family")).alias("family"))
@@ -133,27 +135,50 @@ def blame_followed(changes: DataFrame, paths: DataFrame | None = None) -> DataFr
         family = lower
         if not changed:
             break
-    rows = changes.join(family, "path").join(tied.select("entry_seq", F.col("old").alias("path"), "new"), ["entry_seq", "path"], "left").join(tied.select("entry_seq", F.col("new").alias("path"), "old"), ["entry_seq", "path"], "left")
-
-    def follow(_, group: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, tuple] = {}
-        for seq, run in group.sort_values(["entry_seq"]).groupby("entry_seq", sort=True):
-            for r in run[run.op == "removed"].sort_values("path").itertuples():
-                first, _, n, names = state.pop(r.path, (None, None, 0, ()))
-                if isinstance(r.new, str):
-                    state[r.new] = (first, seq, n + 1, (r.path, *names))
-            for r in run[run.op == "added"].itertuples():
-                if not isinstance(r.old, str):
-                    state[r.path] = (seq, seq, 0, ())
-            for r in run[run.op == "changed"].itertuples():
-                first, _, n, names = state.get(r.path, (None, None, 0, ()))
-                state[r.path] = (first, seq, n + 1, names)
-        return pd.DataFrame([(p, f, t, n, list(names)) for p, (f, t, n, names) in state.items()], columns=["path", "first_seen", "last_touched", "revisions", "formerly"]).astype({"first_seen": "Int64", "last_touched": "Int64"})
-
-    known = rows.groupBy("family").applyInPandas(follow, "path string, first_seen long, last_touched long, revisions long, formerly array<string>")
+    rows = changes.join(family, "path", "left").join(tied.select("entry_seq", F.col("old").alias("path"), "new"), ["entry_seq", "path"], "left").join(tied.select("entry_seq", F.col("new").alias("path"), "old"), ["entry_seq", "path"], "left")
+    step = F.when(F.col("op") == "removed", 0).when(F.col("op") == "added", 1).when(F.col("op") == "changed", 2)
+    rows = rows.select(F.coalesce("family", "path").alias("family"), "entry_seq", step.alias("step"), "path", "new", "old").where("step is not null")
+    known = rows.repartition("family").sortWithinPartitions("family", "entry_seq", "step", "path").mapInArrow(_followed, FOLLOWED)
     return known if paths is None else paths.select("path").distinct().join(known, "path", "left").na.fill(0, ["revisions"])
 
 
+FOLLOWED = "path string, first_seen long, last_touched long, revisions long, formerly array<string>"
+
+
+def _followed(batches: Iterator[pa.RecordBatch], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows of ``FOLLOWED`` from family, entry_seq, step (removed, added, changed), path, new, old, which come in this order."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+    names = ["path", "first_seen", "last_touched", "revisions", "formerly"]
+    state: dict[str, tuple] = {}
+    done: list[tuple] = []
+    now = None
+
+    def given() -> pa.RecordBatch:
+        rows, done[:] = done[:], []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        for family, seq, step, path, new, old in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if family != now:
+                done += [(p, f, t, n, list(before)) for p, (f, t, n, before) in state.items()]
+                state, now = {}, family
+                if len(done) >= most:
+                    yield given()
+            if step == 0:
+                first, _, n, before = state.pop(path, (None, None, 0, ()))
+                if new is not None:
+                    state[new] = (first, seq, n + 1, (path, *before))
+            elif step == 1:
+                if old is None:
+                    state[path] = (seq, seq, 0, ())
+            else:
+                first, _, n, before = state.get(path, (None, None, 0, ()))
+                state[path] = (first, seq, n + 1, before)
+    done += [(p, f, t, n, list(before)) for p, (f, t, n, before) in state.items()]
+    if done:
+        yield given()
+
+
 def touching(changes: DataFrame, paths: DataFrame, follow: bool = True) -> DataFrame:
     """path, entry_seq: the entries that touch a path asked for, under the names that it had before its moves as well.
 
