@@ -162,13 +162,12 @@ def pack(df: DataFrame, keys: list[str], column: str = "segments") -> DataFrame:
 
 
 def unpack(packed: DataFrame, keys: list[str]) -> DataFrame:
-    """The segments table of packed maps: output starts are a running sum of lengths."""
-    rows = packed.select(*keys, "kinds", "rules", F.posexplode("rows").alias("seq", "r"))
+    """The segments table of packed maps: output starts are a running sum of lengths. Names stand for their numbers before rows are sorted, so that no row carries its map's tables."""
+    named = lambda r: F.struct(r[0].alias("w"), r[1].alias("src_start"), r[2].alias("src_end"), F.col("kinds")[r[3]].alias("kind"), F.when(r[4].isNotNull(), F.col("rules")[r[4]]).alias("rule"))
+    rows = packed.select(*keys, F.posexplode(F.transform("rows", named)).alias("seq", "s")).select(*keys, "seq", "s.*")
     order = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.col("r")[0]).over(order).cast("int")
-    return rows.withColumn("out_end", end).select(
-        *keys, "seq", (F.col("out_end") - F.col("r")[0]).alias("out_start"), "out_end", F.col("r")[1].alias("src_start"), F.col("r")[2].alias("src_end"), F.expr("kinds[r[3]]").alias("kind"), F.expr("if(r[4] is null, null, rules[r[4]])").alias("rule")
-    )
+    end = F.sum("w").over(order).cast("int")
+    return rows.withColumn("out_end", end).select(*keys, "seq", (F.col("out_end") - F.col("w")).alias("out_start"), *FIELDS[1:])
 
 
 def read_sidecar(rows: DataFrame, keys: list[str], body: str = "body") -> DataFrame:

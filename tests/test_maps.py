@@ -52,6 +52,14 @@ def test_composition_merging_packing(spark, cases):
     assert maps.faults(whole, lengths, ["doc"]).count() == 0
 
 
+def test_unpacking_sorts_rows_without_the_tables_of_their_maps(spark):
+    packed = spark.createDataFrame([(1, ["verbatim", "removal"], ["r"], [[2, 0, 2, 0, None], [0, 2, 5, 1, 0], [1, 5, 6, 0, None]])], "doc int, kinds array<string>, rules array<string>, rows array<array<int>>")
+    found = maps.unpack(packed.repartition("doc"), ["doc"])
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0, 2, 0, 2, "verbatim", None), (1, 1, 2, 2, 2, 5, "removal", "r"), (1, 2, 2, 3, 5, 6, "verbatim", None)]
+    window = found._jdf.queryExecution().optimizedPlan().toString().split("+- Window", 1)[1].splitlines()[1]
+    assert "kinds#" not in window.split("Generate")[0] and "array" not in window.split("Generate")[0]
+
+
 def test_ranges(spark, cases):
     first = _table(spark, [(d, a) for d, a, _, _ in cases])
     asked = [(d, n, a, b) for d, m, _, _ in cases for n, (a, b) in enumerate((i, j) for i in range(0, (m[-1].out_end if m else 0) + 1, 3) for j in range(i, (m[-1].out_end if m else 0) + 1, 2))]
