@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaica import storage
 from mosaica.functions import batches, text, urls
 from mosaica.operators import convert, corpus, kernels, maps, reading
 from mosaica.plans.registry import decorated, query, table
@@ -44,8 +45,9 @@ _TAIL = """ union all select doc_id, n + 1, 0, o + l, o + l + 4 + d, s + l, s +
 def compose_maps(spark, sf_dir):
     """Line ends, then cleansing, as one map to the source; an interval join within each document."""
     rows = decorated(spark, sf_dir, "both")
-    later = rows.select("doc_id", urls.cleansing(text.normalized(F.col("text")))["segments"].alias("segments"))
-    whole = maps.compose(maps.ending_segments(rows, ["doc_id"]), maps.exploded(later, ["doc_id"]), ["doc_id"])
+    cleansed = rows.select("doc_id", urls.cleansing(text.normalized(F.col("text")))["segments"].alias("segments"))
+    later = storage.written(maps.exploded(cleansed, ["doc_id"]), "later")  # the composition reads it three times; the kernel runs once
+    whole = maps.compose(maps.ending_segments(rows, ["doc_id"]), later, ["doc_id"])
     return _long(maps.merge(whole, ["doc_id"]))
 
 
